@@ -1,0 +1,57 @@
+"""Order-free comparison of a Spark result with a DuckDB result (tests and local checks)."""
+
+from __future__ import annotations
+
+import math
+
+import duckdb
+from pyspark.sql import DataFrame
+
+TABLES = (
+    "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
+    "conversations"
+).split()
+
+
+def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
+    con = duckdb.connect()
+    for name in TABLES:
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{sf_dir}/{name}.parquet')")
+    return con
+
+
+def _plain(value):
+    if value is None or (isinstance(value, float) and math.isnan(value)):
+        return None
+    if isinstance(value, bool):
+        return int(value)
+    if isinstance(value, float):
+        return round(value + 0.0, 6)
+    if hasattr(value, "as_integer_ratio") and not isinstance(value, int):
+        return round(float(value), 6)
+    if isinstance(value, (list, tuple)):
+        return tuple(_plain(v) for v in value)
+    return value
+
+
+def _rows(names: list[str], rows) -> list[tuple]:
+    order = sorted(range(len(names)), key=lambda i: names[i])
+    return sorted((tuple(_plain(r[i]) for i in order) for r in rows), key=repr)
+
+
+def differences(df: DataFrame, con: duckdb.DuckDBPyConnection, sql: str) -> str | None:
+    """None when equal, else a short description."""
+    cursor = con.execute(sql)
+    names = [d[0] for d in cursor.description]
+    expected = _rows(names, cursor.fetchall())
+    got = _rows(df.columns, df.collect())
+    if sorted(names) != sorted(df.columns):
+        return f"columns {sorted(df.columns)} expected {sorted(names)}"
+    if len(got) != len(expected):
+        return f"{len(got)} rows, expected {len(expected)}; first {str(got[:1])[:200]} / {str(expected[:1])[:200]}"
+    wrong = [(g, e) for g, e in zip(got, expected) if g != e]
+    if wrong:
+        g, e = wrong[0]
+        cells = [(c, a, b) for c, a, b in zip(sorted(names), g, e) if a != b]
+        return f"{len(wrong)} of {len(got)} rows differ; {str(cells)[:600]}"
+    return None
