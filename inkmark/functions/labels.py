@@ -84,7 +84,7 @@ def generator_of_column(name: Column) -> Column:
     """Generator told by the column name, with the fixed affixes removed one after the other."""
     stem = F.lower(name)
     for affix in GENERATOR_AFFIXES:
-        stem = F.replace(stem, F.lit(affix), F.lit(""))
+        stem = F.regexp_replace(stem, affix, "")
     named = F.when(F.length(stem) == 0, "unknown_ai").otherwise(stem)
     return F.when(label_of_column(name) == 0, "human").when(label_of_column(name) == 1, named)
 

@@ -55,6 +55,9 @@ def thresholds(
     ``hashed`` has the strata and ``_h``; ``quotas`` has the strata and one count column
     per cut. A cut of zero gives '' (nothing is below it). ``few_strata`` says that the
     strata are a short list by construction; otherwise the size is checked before a broadcast.
+
+    The result is fitted at once, in two passes over narrow columns, and materialised, so the
+    plan of the split itself is one pass over the rows and never repeats these.
     """
     buckets = hashed.groupBy(*strata, F.substring("_h", 1, PREFIX).alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
     running = Window.partitionBy(*strata).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
@@ -64,16 +67,13 @@ def thresholds(
     ).select(*strata, "_q.cut", "_q.k")
     # an equi-join on the strata of two tables of bucket counts, then one bucket per cut is left
     edge = sums.join(wanted, strata).filter((F.col("_before") < F.col("k")) & (F.col("k") <= F.col("_upto")))
-    edge = edge.select(*strata, "_b", "cut", (F.col("k") - F.col("_before")).alias("_r"))
-    small = F.broadcast(edge) if few_strata else broadcast_checked(cut_lineage(edge))
+    edge = cut_lineage(edge.select(*strata, "_b", "cut", (F.col("k") - F.col("_before")).alias("_r")))
+    small = F.broadcast(edge) if few_strata else broadcast_checked(edge)
     inside = hashed.withColumn("_b", F.substring("_h", 1, PREFIX)).join(small, [*strata, "_b"])
     rank = F.row_number().over(Window.partitionBy(*strata, "_b", "cut").orderBy("_h"))
     found = inside.withColumn("_rank", rank).filter(F.col("_rank") == F.col("_r"))
-    return (
-        wanted.join(found.select(*strata, "cut", "_h"), [*strata, "cut"], "left")
-        .groupBy(*strata)
-        .agg(*[F.coalesce(F.max(F.when(F.col("cut") == c, F.col("_h"))), F.lit("")).alias(c) for c in cuts])
-    )
+    hashes = found.groupBy(*strata).agg(*[F.max(F.when(F.col("cut") == c, F.col("_h"))).alias(c) for c in cuts])
+    return cut_lineage(hashes.na.fill("", cuts))
 
 
 def with_thresholds(
@@ -88,7 +88,7 @@ def with_thresholds(
     """Attach ``_h`` and the threshold hash of each cut."""
     hashed = df.withColumn("_h", hash_key(*key, seed=seed))
     limits = thresholds(hashed.select(*strata, "_h"), strata, quotas, cuts, few_strata)
-    limits = F.broadcast(limits) if few_strata else broadcast_checked(cut_lineage(limits))
+    limits = F.broadcast(limits) if few_strata else broadcast_checked(limits)
     return hashed.join(limits, strata, "left")
 
 

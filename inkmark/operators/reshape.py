@@ -41,7 +41,9 @@ def wide_to_long(raw: DataFrame, ids: list[str], file_name: str, dataset_name: s
         labels.generator_of_column(source).alias("generator"),
         "source_column",
         # column order of the table, the order in which the rows count as first
-        F.array_position(F.array(*[F.lit(n) for n in names]), source).alias("_order"),
+        reduce(lambda rest, i: F.when(source == names[i], i).otherwise(rest), range(len(names)), F.lit(len(names))).alias(
+            "_order"
+        ),
     )
     rows = rows.filter(F.length("text") > 0)
     return keep_first(rows, F.col("text"), ["_order", *ids]).drop("_order")

@@ -176,7 +176,7 @@ def _finish_holdout(rows: DataFrame, columns: list[str], key: str) -> DataFrame:
 
     ``_test`` and ``_train`` may both hold for a row; it then appears on both sides.
     """
-    usable = rows.join(F.broadcast(_both_classes(rows)), "holdout", "left_semi")
+    usable = rows.filter(F.col("holdout").isin(_names(_both_classes(rows), "holdout")))
     train = usable.filter("_train")
     limits = thresholds(
         train.select("holdout", "label", hash_key(key).alias("_h")),
