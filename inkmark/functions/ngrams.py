@@ -62,21 +62,18 @@ def _prepared(text: Column, spec: TermSpec) -> Column:
     return F.concat(F.lit(" "), squash_spaces(lowered), F.lit(" "))
 
 
+def word_ngrams(words: Column, n: int) -> Column:
+    """Runs of ``n`` neighbouring words, joined by spaces."""
+    if n == 1:
+        return words
+    starts = F.slice(words, F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(0)))
+    return F.transform(starts, lambda w, i: F.concat_ws(" ", w, *[F.get(words, i + k) for k in range(1, n)]))
+
+
 def _terms(prepared: Column, spec: TermSpec) -> Column:
     sizes = range(spec.min_n, spec.max_n + 1)
     if spec.analyzer == "word":
-        size = F.size(prepared)
-        return F.concat(
-            *[
-                prepared
-                if n == 1
-                else F.transform(
-                    F.slice(prepared, F.lit(1), F.greatest(size - (n - 1), F.lit(0))),
-                    lambda w, i, n=n: F.concat_ws(" ", w, *[F.get(prepared, i + k) for k in range(1, n)]),
-                )
-                for n in sizes
-            ]
-        )
+        return F.concat(*[word_ngrams(prepared, n) for n in sizes])
     if spec.analyzer == "char":
         # a look-ahead finds overlapping grams in one pass over the text
         return F.concat(*[_all_matches(prepared, f"(?s)(?=(.{{{n}}}))", 1) for n in sizes])

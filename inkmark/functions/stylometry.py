@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkmark.functions.ngrams import word_ngrams
 from inkmark.functions.text import SPACE_CHARS
 
 WORD = r"[\p{L}\p{N}_]+"
@@ -92,14 +93,6 @@ def _differences(ends: Column) -> Column:
     return F.transform(ends, lambda end, i: end - F.coalesce(F.get(ends, i - 1), F.lit(0)))
 
 
-def _joined_ngrams(words: Column, n: int) -> Column:
-    count = F.greatest(F.size(words) - (n - 1), F.lit(0))
-    return F.transform(
-        F.slice(words, F.lit(1), count),
-        lambda w, i: F.concat_ws(" ", w, *[F.get(words, i + k) for k in range(1, n)]),
-    )
-
-
 def _repeated_share(items: Column) -> Column:
     return _ratio(F.size(items) - F.size(F.array_distinct(items)), F.size(items))
 
@@ -211,8 +204,8 @@ def add_v1_features(df: DataFrame, text: str = "text", keep: list[str] | None =
             "brace_count": _count_chars(t, "{}[]()"),
             "operator_count": _count_chars(t, "=+-*/<>"),
             "repeated_word_ratio": _ratio(n - distinct, n),
-            "repeated_bigram_ratio": _repeated_share(_joined_ngrams(F.col("_lw"), 2)),
-            "repeated_trigram_ratio": _repeated_share(_joined_ngrams(F.col("_lw"), 3)),
+            "repeated_bigram_ratio": _repeated_share(word_ngrams(F.col("_lw"), 2)),
+            "repeated_trigram_ratio": _repeated_share(word_ngrams(F.col("_lw"), 3)),
             "avg_line_length": _mean(F.col("_ll")),
             "max_line_length": F.array_max("_ll"),
         },

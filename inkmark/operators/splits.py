@@ -75,7 +75,9 @@ def sample_nested_quota(
     second = cut_lineage(take_quota(first, ["domain", "label"], [key], by_domain, few_strata=False))
     label_cap = F.when(is_ai, F.lit(max_ai)).otherwise(F.lit(max_human))
     third = take_quota(second, ["label"], [key], capped(second, ["label"], label_cap))
-    return df.join(third.select(key), key, "left_semi").select(*columns)
+    # at most max_human + max_ai ids; small caps are broadcast, large ones joined by shuffle
+    kept = broadcast_checked(cut_lineage(third.select(key)))
+    return df.join(kept, key, "left_semi").select(*columns)
 
 
 def split_stratified(df: DataFrame, key: str = "doc_id") -> DataFrame:
