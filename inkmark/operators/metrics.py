@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkmark.operators.audits import label_distribution
+from inkmark.session import cut_lineage
 
 SLICE_COLUMNS = ("domain", "model", "attack", "decoding")
 MIN_SLICE_ROWS = 20
@@ -64,39 +65,42 @@ def macro_metrics(scored: DataFrame, by: list[str]) -> DataFrame:
     return with_ratios(counts(scored, by), MACRO).select(*by, "n", *MACRO)
 
 
-def roc_auc(scored: DataFrame, by: list[str], buckets: int = AUC_BUCKETS) -> DataFrame:
-    """Area under the ROC curve with ties counted half; NULL where only one class occurs.
+def _histogram(scored: DataFrame, by: list[str], extra: list[str] | None = None) -> DataFrame:
+    """Rows and positives per distinct score: tied scores become one row before any shuffle.
 
-    Rows are first counted per distinct score, so tied scores are one row. The running
-    count of negatives is a two-level prefix sum: scores fall into quantile buckets, the
-    bucket totals are summed in order, and each bucket is summed inside on its own. No
-    window ever spans all scores of a group.
+    Materialised, because the area reads it three times and the scoring plan behind it
+    (features of the whole corpus, or a model) must run once.
     """
-    keys = by or ["_all"]
-    base = scored if by else scored.withColumn("_all", F.lit(1))
-    score = F.col("score").cast("double")
+    return cut_lineage(
+        scored.groupBy(*by, F.col("score").cast("double").alias("_s"), *(extra or [])).agg(
+            F.count(F.lit(1)).alias("_n"), F.sum(F.col("label").cast("bigint")).alias("_pos")
+        )
+    )
+
+
+def _area(histogram: DataFrame, by: list[str], buckets: int) -> DataFrame:
     per_score = (
-        base.filter(F.col("score").isNotNull())
-        .groupBy(*keys, score.alias("_s"))
-        .agg(F.sum(F.col("label").cast("bigint")).alias("_pos"), F.count(F.lit(1)).alias("_n"))
+        histogram.filter(F.col("_s").isNotNull())
+        .groupBy(*by, "_s")
+        .agg(F.sum("_pos").alias("_pos"), F.sum("_n").alias("_n"))
         .withColumn("_neg", F.col("_n") - F.col("_pos"))
     )
     quantiles = [i / buckets for i in range(1, buckets)]
-    edges = per_score.groupBy(*keys).agg(F.percentile_approx("_s", quantiles, 10 * buckets).alias("_edges"))
+    edges = per_score.groupBy(*by).agg(F.percentile_approx("_s", quantiles, 10 * buckets).alias("_edges"))
     # one row of edges per evaluated group, as many as the result has rows
-    placed = per_score.join(edges, keys).withColumn(
+    placed = per_score.join(edges, by).withColumn(
         "_b", F.size(F.filter("_edges", lambda e: e < F.col("_s")))
     ).drop("_edges")
-    totals = placed.groupBy(*keys, "_b").agg(F.sum("_neg").alias("_bn"))
-    across = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy(*by, "_b").agg(F.sum("_neg").alias("_bn"))
+    across = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     before = totals.withColumn("_below", F.coalesce(F.sum("_bn").over(across), F.lit(0))).drop("_bn")
-    inside = Window.partitionBy(*keys, "_b").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*by, "_b").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
     ranked = (
         placed.withColumn("_in", F.coalesce(F.sum("_neg").over(inside), F.lit(0)))
-        .join(before, [*keys, "_b"])
+        .join(before, [*by, "_b"])
         .withColumn("_twice", F.col("_pos") * (2 * (F.col("_below") + F.col("_in")) + F.col("_neg")))
     )
-    out = ranked.groupBy(*keys).agg(
+    out = ranked.groupBy(*by).agg(
         F.sum(F.col("_twice").cast("decimal(38,0)")).alias("_twice"), F.sum("_pos").alias("_p"), F.sum("_neg").alias("_q")
     )
     area = F.col("_twice").cast("double") / (F.col("_p").cast("double") * F.col("_q") * 2)
@@ -104,14 +108,42 @@ def roc_auc(scored: DataFrame, by: list[str], buckets: int = AUC_BUCKETS) -> Dat
     return out.select(*by, F.when(both, F.round(area, 6)).alias("roc_auc"))
 
 
-def evaluate(scored: DataFrame, by: list[str], macro: bool = False) -> DataFrame:
-    """Counts-based metrics and ROC-AUC in one table, one row per group."""
+def _grouped(scored: DataFrame, by: list[str]) -> tuple[DataFrame, list[str]]:
+    return (scored, by) if by else (scored.withColumn("_all", F.lit(1)), ["_all"])
+
+
+def roc_auc(scored: DataFrame, by: list[str], buckets: int = AUC_BUCKETS) -> DataFrame:
+    """Area under the ROC curve with ties counted half; NULL where only one class occurs.
+
+    The running count of negatives is a two-level prefix sum over the score histogram: scores
+    fall into quantile buckets, the bucket totals are summed in order, and each bucket is
+    summed inside on its own. No window ever spans all scores of a group.
+    """
+    rows, keys = _grouped(scored, by)
+    area = _area(_histogram(rows, keys), keys, buckets)
+    return area if by else area.drop("_all")
+
+
+def evaluate(scored: DataFrame, by: list[str], macro: bool = False, buckets: int = AUC_BUCKETS) -> DataFrame:
+    """Counts-based metrics and ROC-AUC, one row per group, from one pass over the scored rows.
+
+    Counts and AUC both start from the same materialised histogram.
+    """
+    rows, keys = _grouped(scored, by)
+    histogram = _histogram(rows, keys, ["prediction"])
     names = (*BINARY, *MACRO) if macro else BINARY
-    base = with_ratios(counts(scored, by), names).select(*by, "n", *names)
-    if not by:
-        both = base.unionByName(roc_auc(scored, []), allowMissingColumns=True)
-        return both.agg(*[F.max(c).alias(c) for c in both.columns])
-    return base.join(roc_auc(scored, by), by, "left")
+    hit = F.col("prediction") == 1
+    neg = F.col("_n") - F.col("_pos")
+    counted = histogram.groupBy(*keys).agg(
+        F.sum("_n").alias("n"),
+        F.sum(F.when(hit, F.col("_pos")).otherwise(0)).alias("tp"),
+        F.sum(F.when(hit, neg).otherwise(0)).alias("fp"),
+        F.sum(F.when(hit, 0).otherwise(F.col("_pos"))).alias("fn"),
+        F.sum(F.when(hit, 0).otherwise(neg)).alias("tn"),
+    )
+    base = with_ratios(counted, names).select(*keys, "n", *names)
+    out = base.join(_area(histogram, keys, buckets), keys, "left")
+    return out if by else out.drop("_all")
 
 
 def log_loss(scored: DataFrame, by: list[str], probability: str = "score", eps: float = 1e-15) -> DataFrame:
@@ -144,11 +176,9 @@ def slice_metrics(
     long = long.unpivot([detector, "label", "prediction", "score"], present, "slice_column", "slice_value")
     long = long.filter(F.col("slice_value").isNotNull())
     by = [detector, "slice_column", "slice_value"]
-    counted = counts(long, by).filter(
-        (F.col("n") >= min_rows) & (F.col("tp") + F.col("fn") > 0) & (F.col("tn") + F.col("fp") > 0)
-    )
-    names = (*BINARY, "macro_precision", "macro_recall", "macro_f1")
-    return with_ratios(counted, names).select(*by, "n", *names).join(roc_auc(long, by), by)
+    # the area is NULL exactly where one class is missing
+    report = evaluate(long, by, macro=True).filter((F.col("n") >= min_rows) & F.col("roc_auc").isNotNull())
+    return report.drop("balanced_accuracy")
 
 
 def error_rows(scored: DataFrame) -> DataFrame:

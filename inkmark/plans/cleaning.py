@@ -8,7 +8,6 @@ from inkmark.functions import labels, text
 from inkmark.operators import columns, dedup, reshape
 from inkmark.operators.near_duplicates import earliest_partners, minhash_partners, near_duplicate_report
 from inkmark.plans import oracle as o
-from inkmark.session import spread
 from inkmark.sources.bindings import conv_labeled, docs_labeled, table, with_conflicts, with_generators, with_markers
 
 QUERIES = {}
@@ -278,14 +277,14 @@ _MARKED_ARABIC = (
 
 @query("text_whitespace", f"SELECT doc_id, {o.squash(_ODD_SPACES)} AS text FROM documents")
 def text_whitespace(spark, sf_dir):
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = table(spark, sf_dir, "documents", heavy=True).select("doc_id", "text")
     odd = F.replace("text", F.lit(". "), F.lit(".  \t"))
     odd = F.replace(odd, F.lit(" th"), F.lit(" \x1c th"))
     return docs.select("doc_id", text.squash_spaces(odd).alias("text"))
 
 
 def _arabic_docs(spark, sf_dir):
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = table(spark, sf_dir, "documents", heavy=True).select("doc_id", "text")
     script = F.translate(F.lower("text"), _LATIN, _ARABIC)
     script = F.replace(F.replace(script, F.lit("ل"), F.lit("لَ")), F.lit("ت"), F.lit("ّت"))
     return docs.select("doc_id", script.alias("text"))
@@ -308,7 +307,7 @@ def text_arabic_norm(spark, sf_dir):
     f"{o.with_(o.marked('documents'))} SELECT doc_id, {o.strip_markers('text')} AS text FROM marked",
 )
 def text_strip_marker(spark, sf_dir):
-    docs = with_markers(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    docs = with_markers(table(spark, sf_dir, "documents", heavy=True).select("doc_id", "text"))
     return docs.select("doc_id", text.strip_markers(F.col("text")).alias("text"))
 
 
@@ -318,7 +317,7 @@ def text_strip_marker(spark, sf_dir):
     f"{o.dedup_key('text', 'unicode')} AS unicode_key FROM marked",
 )
 def text_dedup_key(spark, sf_dir):
-    docs = with_markers(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    docs = with_markers(table(spark, sf_dir, "documents", heavy=True).select("doc_id", "text"))
     return docs.select(
         "doc_id",
         text.dedup_key(F.col("text")).alias("ascii_key"),
@@ -334,7 +333,7 @@ _CONTACT_SQL = r"(?:https?://|www\.)[^ \t\r\n]+|[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+
     f"SELECT doc_id, {o.squash(f'''regexp_replace(text, '{_CONTACT_SQL}', ' ', 'g')''')} AS text FROM documents",
 )
 def text_strip_contacts(spark, sf_dir):
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = table(spark, sf_dir, "documents", heavy=True).select("doc_id", "text")
     return docs.select("doc_id", text.strip_contacts(F.col("text")).alias("text"))
 
 
@@ -389,7 +388,7 @@ def _first_sql(source, key, order, columns_):
     + _first_sql("t", "text", "doc_id", "doc_id, text, source"),
 )
 def dedup_exact(spark, sf_dir):
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    docs = table(spark, sf_dir, "documents", heavy=True).select("doc_id", "text", "source")
     return dedup.dedup_text(docs.withColumn("text", text.squash_spaces(F.col("text"))), ["doc_id"])
 
 
@@ -401,7 +400,7 @@ per_file AS ({_first_sql('t', 'source, text', 'doc_id', 'doc_id, text, source')}
     + _first_sql("per_file", "text", "source, doc_id", "doc_id, text, source"),
 )
 def dedup_two_level(spark, sf_dir):
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    docs = table(spark, sf_dir, "documents", heavy=True).select("doc_id", "text", "source")
     return dedup.dedup_two_level(docs.withColumn("text", text.squash_spaces(F.col("text"))), "source", "doc_id")
 
 
@@ -424,7 +423,7 @@ def dedup_after_norm(spark, sf_dir):
 SELECT doc_id, label, domain FROM k WHERE key NOT IN (SELECT key FROM k GROUP BY key HAVING count(DISTINCT label) > 1)""",
 )
 def dedup_conflicts(spark, sf_dir):
-    docs = with_conflicts(spread(docs_labeled(spark, sf_dir)))
+    docs = with_conflicts(docs_labeled(spark, sf_dir, heavy=True))
     keyed = docs.withColumn("key", text.dedup_key(F.col("text"), "unicode")).select("doc_id", "label", "domain", "key")
     return dedup.drop_conflicts(keyed, F.col("key")).select("doc_id", "label", "domain")
 
@@ -446,7 +445,7 @@ clean AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY
 
 
 def _strict_input(spark, sf_dir):
-    docs = spread(docs_labeled(spark, sf_dir)).select("doc_id", "text", "label", "domain", "toxic", "grp", "n_chars", "dataset_name")
+    docs = docs_labeled(spark, sf_dir, heavy=True).select("doc_id", "text", "label", "domain", "toxic", "grp", "n_chars", "dataset_name")
     return _gappy(with_markers(with_conflicts(docs)))
 
 

@@ -11,7 +11,6 @@ from inkmark.plans.cleaning import PERMISSIVE_SQL, PERMISSIVE_V0_SQL, _GAPPY, _g
 from inkmark.plans.features import v2_sql
 from inkmark.plans.splitting import QUERIES as SPLIT_QUERIES
 from inkmark.plans.splitting import ORACLES as SPLIT_ORACLES
-from inkmark.session import spread
 from inkmark.sources.bindings import conv_labeled, docs_labeled, with_generators
 
 QUERIES = {}
@@ -173,12 +172,12 @@ def score_both(spark, sf_dir):
     """Documents and conversations, scored by every scorer."""
     both = reshape.union_all(
         [
-            with_generators(docs_labeled(spark, sf_dir)).select("doc_id", "text", "label", "domain", "attack", "dataset_name"),
-            conv_labeled(spark, sf_dir).select("doc_id", "text", "label", "domain", "dataset_name"),
+            with_generators(docs_labeled(spark, sf_dir, heavy=True)).select("doc_id", "text", "label", "domain", "attack", "dataset_name"),
+            conv_labeled(spark, sf_dir, heavy=True).select("doc_id", "text", "label", "domain", "dataset_name"),
         ]
     )
     keep = ["doc_id", "label", "domain", "attack", "dataset_name"]
-    features = stylometry.add_v2_features(spread(both), keep=keep)
+    features = stylometry.add_v2_features(both, keep=keep)
     return apply_scorers(features).withColumnRenamed("dataset_name", "test_dataset")
 
 
@@ -397,15 +396,15 @@ JOIN dist tr ON tr.split_name = k.split_name AND tr.split = 'train' JOIN dist te
 )
 def experiment_rows(spark, sf_dir):
     """Experiment rows of the fixed scorers on two splits of the labelled documents."""
-    docs = docs_labeled(spark, sf_dir).select("doc_id", "text", "label", "domain")
-    narrow = docs.select("doc_id", "label")
+    docs = docs_labeled(spark, sf_dir, heavy=True).select("doc_id", "text", "label", "domain")
+    narrow = docs_labeled(spark, sf_dir).select("doc_id", "label")
     assigned = reshape.union_all(
         [
             splits.split_stratified(narrow).withColumn("split_name", F.lit("stratified")),
             splits.split_three_way(narrow).withColumn("split_name", F.lit("three_way")),
         ]
     )
-    features = stylometry.add_v2_features(spread(docs), keep=["doc_id"])
+    features = stylometry.add_v2_features(docs, keep=["doc_id"])
     scored = apply_scorers(features, [s for s in SCORERS if s[1] == "docs"])
     test = scored.join(assigned.filter(F.col("split") == "test"), "doc_id")
     return metrics.experiment_rows(test, assigned, ["split_name", "detector"])

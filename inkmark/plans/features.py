@@ -9,7 +9,6 @@ from inkmark.operators import lexical, reshape
 from inkmark.plans import oracle as o
 from inkmark.plans.splitting import SPLIT_STRATIFIED_SQL
 from inkmark.operators.splits import split_stratified
-from inkmark.session import spread
 from inkmark.sources.bindings import conv_labeled, docs_labeled, emb_labeled, table
 
 QUERIES = {}
@@ -136,13 +135,13 @@ def _rounded(names, source, keep="doc_id"):
 
 @query("stylo_v2", f"WITH {v2_sql('documents')} {_rounded(stylometry.V2_FEATURES, 'v2')}")
 def stylo_v2(spark, sf_dir):
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = table(spark, sf_dir, "documents", heavy=True).select("doc_id", "text")
     return stylometry.round_features(stylometry.add_v2_features(docs, keep=["doc_id"]), stylometry.V2_FEATURES)
 
 
 @query("stylo_v1", f"WITH {v1_sql('documents')} {_rounded(stylometry.V1_FEATURES, 'v1')}")
 def stylo_v1(spark, sf_dir):
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = table(spark, sf_dir, "documents", heavy=True).select("doc_id", "text")
     return stylometry.round_features(stylometry.add_v1_features(docs, keep=["doc_id"]), stylometry.V1_FEATURES)
 
 
@@ -152,7 +151,7 @@ def stylo_v1(spark, sf_dir):
 SELECT doc_id, feature, round(value, 6) AS value FROM (UNPIVOT v2 ON {', '.join(stylometry.V2_FEATURES)} INTO NAME feature VALUE value)""",
 )
 def stylo_long(spark, sf_dir):
-    features = stylometry.add_v2_features(spread(conv_labeled(spark, sf_dir)), keep=["doc_id"])
+    features = stylometry.add_v2_features(conv_labeled(spark, sf_dir, heavy=True), keep=["doc_id"])
     long = reshape.features_long(features, ["doc_id"], stylometry.V2_FEATURES)
     return long.withColumn("value", F.round("value", 6))
 
@@ -268,7 +267,7 @@ SELECT doc_id, split, """
     + " FROM v2",
 )
 def stylo_scaled(spark, sf_dir):
-    docs = spread(split_stratified(docs_labeled(spark, sf_dir)))
+    docs = split_stratified(docs_labeled(spark, sf_dir, heavy=True))
     features = stylometry.add_v2_features(docs, keep=["doc_id", "split"])
     stats = lexical.scaler(features.filter(F.col("split") == "train"), stylometry.V2_FEATURES)
     scaled = lexical.scale(features, stats, stylometry.V2_FEATURES)
@@ -298,7 +297,7 @@ def features_hybrid(spark, sf_dir):
     lexical_part = lexical.weigh(conv, vocabulary, specs).select(
         "doc_id", F.col("term_id").cast("bigint").alias("feature_id"), F.round("w", 6).alias("w")
     )
-    features = stylometry.add_v2_features(spread(conv), keep=["doc_id"])
+    features = stylometry.add_v2_features(conv_labeled(spark, sf_dir, heavy=True), keep=["doc_id"])
     names = stylometry.V2_FEATURES
     long = reshape.features_long(lexical.scale(features, lexical.scaler(features, names), names), ["doc_id"], names)
     position = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("feature")) - 1
@@ -319,7 +318,7 @@ SELECT doc_id, CAST(cells.pos AS INTEGER) AS pos, round(CASE WHEN s < 1e-12 THEN
 FROM cells JOIN st ON st.pos = cells.pos""",
 )
 def embedding_scaled(spark, sf_dir):
-    emb = spread(emb_labeled(spark, sf_dir))
+    emb = emb_labeled(spark, sf_dir)
     scaled = lexical.scale_embeddings(emb, lexical.embedding_stats(emb), ["doc_id"])
     return scaled.select("doc_id", F.posexplode("embedding").alias("pos", "x")).select(
         "doc_id", "pos", F.round("x", 5).alias("value")

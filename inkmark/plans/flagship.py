@@ -9,12 +9,11 @@ from inkmark.functions import stylometry
 from inkmark.functions.text import squash_spaces
 from inkmark.operators import dedup, metrics
 from inkmark.plans.evaluation import SCORERS, apply_scorers
-from inkmark.session import spread
 from inkmark.sources.bindings import conv_labeled
 
 
 def detector_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = spread(conv_labeled(spark, sf_dir).select("doc_id", "text", "label", "domain"))
+    turns = conv_labeled(spark, sf_dir, heavy=True).select("doc_id", "text", "label", "domain")
     clean = turns.withColumn("text", squash_spaces(F.col("text"))).filter(F.length("text") > 0)
     unique = dedup.dedup_text(clean, ["doc_id"])
     features = stylometry.add_v2_features(unique, keep=["label", "domain"])

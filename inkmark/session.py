@@ -65,8 +65,9 @@ def broadcast_checked(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFram
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Repartition only when a scan yields fewer splits than the cluster has slots.
+    """Repartition a plain scan only when it yields fewer splits than the cluster has slots.
 
+    For scans only: asking a plan with shuffles for its partitions would already run them.
     Small inputs arrive as one parquet split and would run CPU-heavy text work in
     one task; a large table already has enough splits and is left alone.
     """

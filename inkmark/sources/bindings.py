@@ -12,14 +12,18 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkmark.session import spread
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
+def table(spark: SparkSession, sf_dir: str, name: str, heavy: bool = False) -> DataFrame:
+    """One standard table; ``heavy`` spreads a scan of few splits for CPU-heavy text work."""
+    scan = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(scan) if heavy else scan
 
-def docs_labeled(spark: SparkSession, sf_dir: str) -> DataFrame:
+
+def docs_labeled(spark: SparkSession, sf_dir: str, heavy: bool = False) -> DataFrame:
     """doc_id, text, label, toxic, domain (language), grp (source), n_chars, dataset_name."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    docs = table(spark, sf_dir, "documents", heavy).select("doc_id", "text", "lang", "source", "n_chars")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
     return docs.join(labels, "doc_id").select(
         "doc_id",
@@ -33,9 +37,9 @@ def docs_labeled(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def conv_labeled(spark: SparkSession, sf_dir: str) -> DataFrame:
+def conv_labeled(spark: SparkSession, sf_dir: str, heavy: bool = False) -> DataFrame:
     """doc_id, text, label, prompt_group, domain (turn parity), dataset_name."""
-    turns = table(spark, sf_dir, "conversations").filter(F.col("role").isin("user", "assistant"))
+    turns = table(spark, sf_dir, "conversations", heavy).filter(F.col("role").isin("user", "assistant"))
     return turns.select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"),
         "text",
@@ -48,7 +52,7 @@ def conv_labeled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def emb_labeled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, embedding, label."""
-    return table(spark, sf_dir, "embeddings").select(
+    return table(spark, sf_dir, "embeddings", heavy=True).select(
         F.col("vec_id").alias("doc_id"), "embedding", F.when(F.col("label") >= 5, 1).otherwise(0).alias("label")
     )
 
