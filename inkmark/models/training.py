@@ -29,7 +29,7 @@ SEED = 42
 FOLDS = 3
 TOLERANCE = 1e-4
 # The hinge loss has no smooth optimum to converge to; later steps no longer move the margins.
-SVM_STEPS = 60
+SVM_STEPS = 30
 
 
 @dataclass(frozen=True)
