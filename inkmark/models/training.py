@@ -30,6 +30,7 @@ FOLDS = 3
 TOLERANCE = 1e-4
 # The hinge loss has no smooth optimum to converge to; later steps no longer move the margins.
 SVM_STEPS = 30
+ROWS_PER_TASK = 2000
 
 
 @dataclass(frozen=True)
@@ -148,18 +149,21 @@ def fit_classifier(recipe: Recipe, vectors: DataFrame):
     """Fit on vectors with ``label`` and ``class_weight``; they are held for the iterations."""
     held = hold(vectors)
     n = held.count()
+    # every optimizer step is one job; small training sets pay for tasks, not for rows
+    tasks = max(1, min(held.rdd.getNumPartitions(), -(-n // ROWS_PER_TASK)))
+    rows = held.coalesce(tasks)
     if recipe.classifier == "logistic":
-        model = _logistic(n, recipe.max_iter).fit(held)
+        model = _logistic(n, recipe.max_iter).fit(rows)
     elif recipe.classifier == "svm":
-        model = _svm(n).fit(held)
+        model = _svm(n).fit(rows)
     elif recipe.classifier == "svm_calibrated":
-        model = SigmoidCalibrated.fit(held)
+        model = SigmoidCalibrated.fit(rows)
     elif recipe.classifier == "forest":
         forest = RandomForestClassifier(
             numTrees=recipe.trees, maxDepth=recipe.max_depth, featureSubsetStrategy="sqrt", seed=SEED,
             weightCol="class_weight", maxMemoryInMB=1024,
         )
-        model = forest.fit(held)
+        model = forest.fit(rows)
     else:
         raise ValueError(f"unknown classifier {recipe.classifier}")
     held.unpersist()
