@@ -64,7 +64,7 @@ def fit_features(train: DataFrame, plan: FeaturePlan, key: str = "doc_id") -> Fi
 
 
 def _sparse_udf(size: int):
-    return F.udf(lambda ids, values: Vectors.sparse(size, ids, values), VectorUDT())
+    return F.udf(lambda ids, values: Vectors.sparse(size, ids, values), VectorUDT(), useArrow=True)
 
 
 def _term_cells(placed: DataFrame, fitted: FittedFeatures, keep: list[str]) -> DataFrame:
