@@ -16,7 +16,7 @@ from inkmark.session import local_session  # noqa: E402
 HEADLINE = (
     "detector_report dedup_exact clean_strict audit_cleaning audit_metadata_leakage text_dedup_key stylo_v2 stylo_v1 "
     "tfidf_word tfidf_vocab near_dup_cosine split_stratified split_grouped split_generator_holdout metrics_auc "
-    "metrics_slices stream_dedup train_m1 train_m3"
+    "metrics_slices stream_dedup train_m1"
 ).split()
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from inkmark.functions import stylometry
 from inkmark.functions.ngrams import TermSpec
 from inkmark.operators import lexical
-from inkmark.session import cut_lineage
+from inkmark.session import broadcast_checked, cut_lineage
 
 STYLE = {"v2": stylometry.V2_FEATURES, "v1": stylometry.V1_FEATURES, "length": stylometry.LENGTH_FEATURES}
 
@@ -72,7 +72,7 @@ def _term_cells(placed: DataFrame, fitted: FittedFeatures, keep: list[str]) -> D
 
     A left join keeps documents without a known term; ``collect_list`` skips their NULLs.
     """
-    known = F.broadcast(fitted.vocabulary.select("block", "term", "term_id", "idf"))
+    known = broadcast_checked(fitted.vocabulary.select("block", "term", "term_id", "idf"))
     blocks = []
     for block, spec in enumerate(fitted.plan.specs):
         tf = F.col("tf").cast("double")

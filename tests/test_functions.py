@@ -189,10 +189,10 @@ def test_strict_encoders_can_fail(spark):
 
 
 def test_column_name_labels(spark):
-    names = ["original_abstract", "allam_generated_abstract", "generated", "x_generated_post", "human_text", "id"]
+    names = ["original_abstract", "maker_generated_abstract", "generated", "x_generated_post", "human_text", "id"]
     rows = spark.createDataFrame([(n,) for n in names], "n string")
     got = rows.select(labels.label_of_column(F.col("n")).alias("l"), labels.generator_of_column(F.col("n")).alias("g")).collect()
-    assert [tuple(r) for r in got] == [(0, "human"), (1, "allam"), (1, "generated"), (1, "x"), (0, "human"), (None, None)]
+    assert [tuple(r) for r in got] == [(0, "human"), (1, "maker"), (1, "generated"), (1, "x"), (0, "human"), (None, None)]
 
 
 def word_boundary_grams(s, low, high):
