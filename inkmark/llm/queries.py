@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from inkmark.llm.token_store import op1_token_ids
 from inkmark.llm.token_counts import op4_token_counts
 
 QUERIES = {
+    "op1_token_ids": op1_token_ids,
     "op4_token_counts": op4_token_counts,
 }
 ORACLES: dict[str, str] = {}
