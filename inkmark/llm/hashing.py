@@ -17,6 +17,7 @@ _LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _POWERS: dict[str, np.ndarray] = {}
+SEGMENT = 4 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -55,11 +56,26 @@ _TABLE = byte_table()
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of each byte span ``data[start:end]``; equal bytes give equal hashes wherever they stand."""
-    up, down = _powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, dtype=U)
-    np.cumsum(_TABLE[data] * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U))
+    """Hash of each byte span ``data[start:end]``; equal bytes give equal hashes wherever they stand.
+
+    The spans are in order and do not overlap. Long data is taken in segments, which bounds the working memory.
+    """
+    if len(starts) > 1 and int(ends[-1] - starts[0]) > SEGMENT:
+        cuts = np.searchsorted(starts, np.arange(int(starts[0]), int(ends[-1]), SEGMENT))
+        cuts = np.unique(np.concatenate((cuts, [len(starts)])))
+        return np.concatenate([_hashed(data, starts[i:j], ends[i:j]) for i, j in zip(cuts, cuts[1:])])
+    return _hashed(data, starts, ends)
+
+
+def _hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    if len(starts) == 0:
+        return np.zeros(0, dtype=U)
+    base = int(starts[0])
+    part = data[base : int(ends[-1])]
+    up, down = _powers(len(part) + 1)
+    sums = np.zeros(len(part) + 1, dtype=U)
+    np.cumsum(_TABLE[part] * up[: len(part)], out=sums[1:])
+    return mix((sums[ends - base] - sums[starts - base]) * down[starts - base] + (ends - starts).astype(U))
 
 
 def lowered(data: np.ndarray) -> np.ndarray:
@@ -67,6 +83,10 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
+def is_space(byte: int) -> bool:
+    return bool(_SPACE[byte])
+
+
 def words_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Byte offsets (start, end) of the words."""
     edge = np.flatnonzero(np.diff(np.concatenate(([True], _SPACE[data], [True])).astype(np.int8)))
@@ -90,15 +110,11 @@ def word_hashes(text: bytes, lower: bool = True) -> np.ndarray:
     data = np.frombuffer(text, dtype=np.uint8)
     if lower:
         data = lowered(data)
-    starts, ends = words_of(data)
-    return span_hashes(data, starts, ends)
+    return span_hashes(data, *words_of(data))
 
 
-def shingle_set(text: bytes | None, size: int = 5) -> np.ndarray:
-    """Sorted distinct hashes of the word shingles; a shorter text is one shingle, one without words none."""
-    if not text:
-        return np.zeros(0, dtype=U)
-    words = word_hashes(text)
+def shingle_set(words: np.ndarray, size: int = 5) -> np.ndarray:
+    """Sorted distinct hashes of the shingles of a text's word hashes; a shorter text is one shingle, one without words none."""
     if len(words) == 0:
         return np.zeros(0, dtype=U)
     if len(words) < size:
