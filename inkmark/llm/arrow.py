@@ -1,7 +1,7 @@
 """Arrow helpers shared by the operators: text columns as byte blocks, files in shared folders, samples, tables.
 
-Spark bounds an Arrow batch by bytes (``spark.sql.execution.arrow.maxBytesPerBatch``); the blocks below bound the
-working memory inside a batch as well, so that a kernel needs a small multiple of ``BLOCK_BYTES`` or of one text.
+Spark bounds an Arrow batch by bytes (``spark.sql.execution.arrow.maxBytesPerBatch``); the pieces and blocks below
+bound the working memory inside a batch as well: a kernel needs a small multiple of ``BLOCK_BYTES`` or of one text.
 """
 
 from __future__ import annotations
@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from inkmark.session import scratch_path
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
+PIECE_BYTES = 8 << 20
 
 
 class Block:
@@ -82,13 +83,20 @@ def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], dict], schem
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                columns = function(batch)
+            for piece in pieces(batch):
+                columns = function(piece)
                 yield pa.RecordBatch.from_arrays([as_array(columns[f.name], f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)
 
 
+def pieces(batch: pa.RecordBatch, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of about ``limit`` bytes, so that copies made of a slice stay small."""
+    rows = max(1, int(batch.num_rows * limit / max(batch.nbytes, 1)))
+    for first in range(0, batch.num_rows, rows):
+        yield batch.slice(first, rows)
+
+
 def as_array(values, kind: pa.DataType) -> pa.Array:
     if isinstance(values, pa.ChunkedArray):
         values = values.combine_chunks()
@@ -109,6 +117,12 @@ def bounded_sample(df: DataFrame, rows: int, keys: list[str], seed: int) -> Data
     return picked.orderBy(order, *keys).limit(rows)
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, seed: int) -> DataFrame:
+    """Documents of at most ``rows`` labelled ids; the ids are few by this bound and are broadcast."""
+    picked = bounded_sample(labels, rows, ["doc_id"], seed)
+    return docs.join(F.broadcast(picked), "doc_id")
+
+
 def crc_mod(column: str, modulus: int) -> Column:
     """crc32 of the id's text, modulo a small number; a missing id counts as 0."""
     return F.coalesce(F.pmod(F.crc32(F.encode(F.col(column).cast("string"), "UTF-8")), F.lit(modulus)), F.lit(0))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from inkmark.llm import perfect_hash
-from inkmark.llm.arrow import as_array, blocks, commit_file, file_system, map_batches, table
+from inkmark.llm.arrow import as_array, blocks, commit_file, file_system, map_batches, pieces, table
 from inkmark.llm.hashing import U
 from inkmark.llm.ranges import key_shards, shard_count
 from inkmark.llm.tokens import encoder, public_path
@@ -90,12 +90,10 @@ def _write_payload(df: DataFrame, folder: str, width: int) -> DataFrame:
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = None
-        for batch in batches:
+        for batch in (piece for batch in batches for piece in pieces(batch)):
             numbers = batch.column(0).to_numpy()
             cuts = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(numbers)]
             for low, high in zip(cuts, cuts[1:]):
-                if low == high:
-                    continue
                 if shard is None or shard.number != numbers[low]:
                     if shard is not None:
                         shard.close()

@@ -17,7 +17,7 @@ from inkmark.llm.arrow import Block
 from inkmark.llm.hashing import U, span_hashes, words_of
 
 # Words kept per worker; when the memory is full it starts anew.
-KNOWN_WORDS = 2_000_000
+KNOWN_WORDS = 1_000_000
 # Bytes of text per call of the library.
 CALL_BYTES = 1 << 20
 LINE_WORDS = 500
