@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from inkmark.llm.pii import op3_pii
 from inkmark.llm.quality_rules import op8_quality_rules
 from inkmark.llm.sketch_dedup import op6_near_duplicates
 from inkmark.llm.token_store import op1_token_ids
@@ -11,6 +12,7 @@ from inkmark.llm.warc import op2_warc
 QUERIES = {
     "op1_token_ids": op1_token_ids,
     "op2_warc": op2_warc,
+    "op3_pii": op3_pii,
     "op4_token_counts": op4_token_counts,
     "op6_near_duplicates": op6_near_duplicates,
     "op8_quality_rules": op8_quality_rules,
