@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from inkmark.llm.compression_quality import op7_quality_score
+from inkmark.llm.language import op9_language
 from inkmark.llm.pii import op3_pii
 from inkmark.llm.quality_rules import op8_quality_rules
 from inkmark.llm.sketch_dedup import op6_near_duplicates
-from inkmark.llm.token_store import op1_token_ids
 from inkmark.llm.token_counts import op4_token_counts
+from inkmark.llm.token_store import op1_token_ids
 from inkmark.llm.warc import op2_warc
 
 QUERIES = {
@@ -15,6 +17,8 @@ QUERIES = {
     "op3_pii": op3_pii,
     "op4_token_counts": op4_token_counts,
     "op6_near_duplicates": op6_near_duplicates,
+    "op7_quality_score": op7_quality_score,
     "op8_quality_rules": op8_quality_rules,
+    "op9_language": op9_language,
 }
 ORACLES: dict[str, str] = {}
