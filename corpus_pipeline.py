@@ -3,10 +3,56 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from inkmark.llm.arrow import stored, table
+from inkmark.llm.decontamination import contaminated
+from inkmark.llm.packing import pack_documents
+from inkmark.llm.pii import find_pii, fit_pii
+from inkmark.llm.quality_rules import apply_rules, fit_rules
+from inkmark.llm.sketch_dedup import near_duplicates
 
-STAGES: list = []
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the hard limits and the isolation forest; repeated rows and rows without id are judged alike."""
+    judged = apply_rules(docs, fit_rules(docs, table(spark, sf_dir, "labels")), keep=COLUMNS[1:])
+    return judged.filter("kept").select(*COLUMNS)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each component; of rows repeated under that id, one stays."""
+    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*COLUMNS)
+    return rows.dropDuplicates(["doc_id"])
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark item; rows without id cannot be told apart and stay."""
+    found = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def pii_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced by its kind; ``n_chars`` follows the new text."""
+    found = find_pii(docs, fit_pii(docs), keep=("lang", "source"))
+    text = F.col("redacted")
+    return found.select("doc_id", text.alias("text"), "lang", "source", F.char_length(text).cast("long").alias("n_chars"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' tokens in sequences of the permitted lengths."""
+    return pack_documents(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("near-dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("pii", pii_redaction),
+    ("packing", packing),
+]
 
 #: No SQL: the stages fit models and encode tokens; tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
@@ -16,5 +62,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every stage reads what its predecessor kept, from Parquet."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs

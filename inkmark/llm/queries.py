@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from inkmark.llm.compression_quality import op7_quality_score
+from inkmark.llm.decontamination import op10_decontamination
 from inkmark.llm.language import op9_language
+from inkmark.llm.packing import op5_packing
 from inkmark.llm.pii import op3_pii
 from inkmark.llm.quality_rules import op8_quality_rules
 from inkmark.llm.sketch_dedup import op6_near_duplicates
@@ -16,9 +18,11 @@ QUERIES = {
     "op2_warc": op2_warc,
     "op3_pii": op3_pii,
     "op4_token_counts": op4_token_counts,
+    "op5_packing": op5_packing,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_quality_score": op7_quality_score,
     "op8_quality_rules": op8_quality_rules,
     "op9_language": op9_language,
+    "op10_decontamination": op10_decontamination,
 }
 ORACLES: dict[str, str] = {}
