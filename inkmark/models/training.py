@@ -6,7 +6,6 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.classification import (
     LinearSVC,
     LinearSVCModel,
@@ -16,20 +15,19 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkmark.functions import ngrams
-from inkmark.models.vectors import FeaturePlan, FittedFeatures, assemble, fit_features
+from inkmark.models.vectors import FeaturePlan, FittedFeatures, assemble, fit_features, term_cells
 from inkmark.operators import lexical, metrics
-from inkmark.operators.quota import hash_key
+from inkmark.operators.quota import ceil_share, with_thresholds
 from inkmark.session import cut_lineage, hold
 
 SEED = 42
 FOLDS = 3
 TOLERANCE = 1e-4
-# The hinge loss has no smooth optimum to converge to; later steps no longer move the margins.
-SVM_STEPS = 30
+# Training rows per task; this sizes the tasks of an optimizer step and changes no result.
 ROWS_PER_TASK = 2000
 
 
@@ -79,9 +77,10 @@ def _logistic(n: int, max_iter: int) -> LogisticRegression:
     )
 
 
-def _svm(n: int) -> LinearSVC:
+def _svm(n: int, max_iter: int) -> LinearSVC:
+    """Runs until the objective changes by less than the tolerance; ``max_iter`` is the usual default limit of 1,000."""
     return LinearSVC(
-        regParam=1.0 / n, standardization=False, maxIter=SVM_STEPS, tol=TOLERANCE, weightCol="class_weight"
+        regParam=1.0 / n, standardization=False, maxIter=max_iter, tol=TOLERANCE, weightCol="class_weight"
     )
 
 
@@ -94,6 +93,16 @@ def probability(model, vectors: DataFrame, keep: list[str]) -> DataFrame:
     )
 
 
+def _stratified_folds(vectors: DataFrame, key: str) -> DataFrame:
+    """``_fold``: equal parts of every class in hash order, so a small class is in each of them."""
+    counts = vectors.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    cuts = [f"_cut{i}" for i in range(1, FOLDS)]
+    quotas = counts.select("label", *[ceil_share(F.col("n"), i, FOLDS).alias(c) for i, c in enumerate(cuts, start=1)])
+    placed = with_thresholds(vectors, ["label"], [key], quotas, cuts, seed=SEED + 2)
+    fold = sum([(F.col("_h") > F.col(c)).cast("int") for c in cuts], F.lit(0))
+    return placed.withColumn("_fold", fold).drop("_h", *cuts)
+
+
 class SigmoidCalibrated:
     """Three linear SVMs, each with a sigmoid fitted on the fold it has not seen; mean of three."""
 
@@ -101,13 +110,12 @@ class SigmoidCalibrated:
         self.members = members
 
     @classmethod
-    def fit(cls, vectors: DataFrame, key: str = "doc_id") -> SigmoidCalibrated:
-        fold = F.pmod(F.conv(F.substring(hash_key(key, seed=SEED + 2), 1, 8), 16, 10).cast("bigint"), F.lit(FOLDS))
-        folded = hold(vectors.withColumn("_fold", fold))
+    def fit(cls, vectors: DataFrame, key: str = "doc_id", max_iter: int = 1000) -> SigmoidCalibrated:
+        folded = hold(_stratified_folds(vectors, key))
         members = []
         for i in range(FOLDS):
             seen = folded.filter(F.col("_fold") != i)
-            model = _svm(seen.count()).fit(seen)
+            model = _svm(seen.count(), max_iter).fit(seen)
             margins = model.transform(folded.filter(F.col("_fold") == i)).select(
                 "label", array_to_vector(F.array(vector_to_array("rawPrediction")[1])).alias("features")
             )
@@ -155,9 +163,9 @@ def fit_classifier(recipe: Recipe, vectors: DataFrame):
     if recipe.classifier == "logistic":
         model = _logistic(n, recipe.max_iter).fit(rows)
     elif recipe.classifier == "svm":
-        model = _svm(n).fit(rows)
+        model = _svm(n, recipe.max_iter).fit(rows)
     elif recipe.classifier == "svm_calibrated":
-        model = SigmoidCalibrated.fit(rows)
+        model = SigmoidCalibrated.fit(rows, max_iter=recipe.max_iter)
     elif recipe.classifier == "forest":
         forest = RandomForestClassifier(
             numTrees=recipe.trees, maxDepth=recipe.max_depth, featureSubsetStrategy="sqrt", seed=SEED,
@@ -245,36 +253,16 @@ def load_detector(spark: SparkSession, recipe: Recipe, path: str) -> Detector:
 # --- epoch training -----------------------------------------------------------------------
 
 
-def _forward(batch: pd.DataFrame, weights: np.ndarray, bias: float) -> np.ndarray:
-    margins = np.array([np.dot(weights[np.asarray(i, dtype=np.int64)], v) for i, v in zip(batch["ids"], batch["values"])])
-    return 1.0 / (1.0 + np.exp(-(margins + bias)))
-
-
-def _partial_gradients(weights: np.ndarray, bias: float):
-    """One gradient per batch: a batch emits only the coordinates it touches."""
-
-    def run(batches):
-        for batch in batches:
-            if batch.empty:
-                continue
-            residual = (_forward(batch, weights, bias) - batch["label"].to_numpy()) * batch["class_weight"].to_numpy()
-            lengths = batch["ids"].map(len).to_numpy()
-            ids = np.concatenate([np.asarray(i, dtype=np.int64) for i in batch["ids"]])
-            values = np.concatenate([np.asarray(v, dtype=float) for v in batch["values"]]) * np.repeat(residual, lengths)
-            touched, where = np.unique(ids, return_inverse=True)
-            yield pd.DataFrame(
-                {"id": np.append(touched, -1), "g": np.append(np.bincount(where, values, len(touched)), residual.sum())}
-            )
-
-    return run
+def _logit(weights: str) -> Column:
+    """Margin of a row of cells: the sum of its values times the weights at their places."""
+    return F.aggregate("_cells", F.lit(0.0), lambda total, c: total + c["v"] * F.get(F.col(weights), c["i"]))
 
 
-def _scores(weights: np.ndarray, bias: float):
-    def run(batches):
-        for batch in batches:
-            yield pd.DataFrame({"split": batch["split"], "label": batch["label"], "score": _forward(batch, weights, bias)})
-
-    return run
+def _weights_row(spark: SparkSession, rows: list[tuple[int, np.ndarray, float]]) -> DataFrame:
+    """(epoch, weights, bias), one row per epoch; an array has as many numbers as the vocabulary's limit."""
+    return F.broadcast(
+        spark.createDataFrame([(1, e, w.tolist(), b) for e, w, b in rows], "_one int, epoch int, weights array<double>, bias double")
+    )
 
 
 def train_epochs(
@@ -282,41 +270,42 @@ def train_epochs(
 ) -> DataFrame:
     """Class-weighted logistic loss, one full-batch step per epoch, losses and metrics after each.
 
-    ``rows`` has doc_id, text, label and split (train/val). Tasks add up partial gradients; only
-    the gradient, whose length is the vocabulary's limit, reaches the driver.
+    ``rows`` has doc_id, text, label and split (train/val). A step is one aggregate: residual times value, summed per
+    term. Only that gradient, whose length is the vocabulary's limit, reaches the driver. All epochs are scored in one
+    pass at the end.
     """
+    spark = rows.sparkSession
     train_rows = rows.filter(F.col("split") == "train")
     fitted = fit_features(train_rows, FeaturePlan([spec]))
     weights_of = lexical.class_weights(train_rows).select("label", F.col("weight").alias("class_weight"))
     keep = ["doc_id", "label", "split", "class_weight"]
     source = rows.join(F.broadcast(weights_of), "label")
-    from inkmark.models.vectors import _term_cells
-
-    cells = _term_cells(lexical.by_document(source.select(*keep, "text")), fitted, keep)
-    data = hold(
-        cells.select(
-            "split", "label", "class_weight", F.col("_cells.i").alias("ids"), F.col("_cells.v").alias("values")
-        )
-    )
+    cells = term_cells(lexical.by_document(source.select(*keep, "text")), fitted, keep)
+    data = hold(cells.withColumn("_one", F.lit(1)))
     train_part = data.filter(F.col("split") == "train")
     n = train_part.count()
-    weights, bias = np.zeros(max(fitted.n_terms, 1)), 0.0
-    history = None
+    weights, bias, steps = np.zeros(max(fitted.n_terms, 1)), 0.0, []
     for epoch in range(1, epochs + 1):
-        gradient = train_part.mapInPandas(_partial_gradients(weights, bias), "id long, g double")
-        total = gradient.groupBy("id").agg(F.sum("g").alias("g")).toPandas()
-        bias_part = total["id"] == -1
+        placed = train_part.join(_weights_row(spark, [(epoch, weights, bias)]), "_one")
+        chance = 1.0 / (1.0 + F.exp(-(_logit("weights") + F.col("bias"))))
+        residual = placed.select("_cells", ((chance - F.col("label")) * F.col("class_weight")).alias("r"))
+        # the bias is a term of its own, with value 1 in every row
+        terms = F.concat("_cells", F.array(F.struct(F.lit(-1).alias("i"), F.lit(1.0).alias("v"))))
+        each = residual.select("r", F.explode(terms).alias("c"))
+        total = each.groupBy(F.col("c.i").alias("id")).agg(F.sum(F.col("r") * F.col("c.v")).alias("g")).toPandas()
+        of_bias = (total["id"] == -1).to_numpy()
         step = np.zeros_like(weights)
-        step[total.loc[~bias_part, "id"].to_numpy()] = total.loc[~bias_part, "g"].to_numpy() / n
+        step[total["id"].to_numpy()[~of_bias]] = total["g"].to_numpy()[~of_bias] / n
         weights = weights * (1.0 - rate * alpha) - rate * step
-        bias -= rate * float(total.loc[bias_part, "g"].sum()) / n
-        scored = data.mapInPandas(_scores(weights, bias), "split string, label int, score double")
-        scored = cut_lineage(scored.withColumn("prediction", F.when(F.col("score") >= 0.5, 1).otherwise(0)))
-        row = metrics.evaluate(scored, ["split"]).join(metrics.log_loss(scored, ["split"]).drop("n"), "split")
-        row = row.withColumn("epoch", F.lit(epoch))
-        history = row if history is None else history.unionByName(row)
-    history = cut_lineage(history)
+        bias -= rate * float(total["g"].to_numpy()[of_bias].sum()) / n
+        steps.append((epoch, weights, bias))
+    scored = data.join(_weights_row(spark, steps), "_one").select(
+        "epoch", "split", "label", (1.0 / (1.0 + F.exp(-(_logit("weights") + F.col("bias"))))).alias("score")
+    )
+    scored = cut_lineage(scored.withColumn("prediction", F.when(F.col("score") >= 0.5, 1).otherwise(0)))
     data.unpersist()
+    by = ["epoch", "split"]
+    history = cut_lineage(metrics.evaluate(scored, by).join(metrics.log_loss(scored, by).drop("n"), by))
 
     def side(split: str, name: str, column: str):
         return F.max(F.when(F.col("split") == split, F.col(column))).alias(name)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from inkmark.functions import stylometry
 from inkmark.functions.ngrams import TermSpec
 from inkmark.operators import lexical
+from inkmark.operators.columns import check_features_safe
 from inkmark.session import broadcast_checked, cut_lineage
 
 STYLE = {"v2": stylometry.V2_FEATURES, "v1": stylometry.V1_FEATURES, "length": stylometry.LENGTH_FEATURES}
@@ -47,13 +48,13 @@ class FittedFeatures:
 def _style(docs: DataFrame, kind: str, keep: list[str]) -> DataFrame:
     if kind == "v2":
         return stylometry.add_v2_features(docs, keep=keep)
-    features = stylometry.add_v1_features(docs, keep=keep)
-    return features.select(*keep, *STYLE[kind])
+    return stylometry.add_v1_features(docs, keep=keep).select(*keep, *STYLE[kind])
 
 
 def fit_features(train: DataFrame, plan: FeaturePlan, key: str = "doc_id") -> FittedFeatures:
     """Fit on training rows only."""
     rows = train.select(key, "text")
+    check_features_safe(rows.columns, (key, "text"))
     vocabulary = lexical.fit_vocabulary(rows, plan.specs) if plan.specs else None
     n_terms = vocabulary.count() if vocabulary is not None else 0
     stats = None
@@ -67,7 +68,7 @@ def _sparse_udf(size: int):
     return F.udf(lambda ids, values: Vectors.sparse(size, ids, values), VectorUDT(), useArrow=True)
 
 
-def _term_cells(placed: DataFrame, fitted: FittedFeatures, keep: list[str]) -> DataFrame:
+def term_cells(placed: DataFrame, fitted: FittedFeatures, keep: list[str]) -> DataFrame:
     """(keep, cells): per document the sorted (feature id, weight) pairs of all term blocks.
 
     A left join keeps documents without a known term; ``collect_list`` skips their NULLs.
@@ -102,7 +103,7 @@ def assemble(docs: DataFrame, fitted: FittedFeatures, keep: list[str]) -> DataFr
             style = lexical.scale(style, fitted.stats, names)
         if not fitted.plan.specs:
             return style.select(*keep, array_to_vector(F.array(*names)).alias("features"))
-    cells = _term_cells(placed, fitted, keep)
+    cells = term_cells(placed, fitted, keep)
     if style is not None:
         dense = F.array(
             *[F.struct(F.lit(fitted.n_terms + i).alias("i"), F.col(n).alias("v")) for i, n in enumerate(names)]
@@ -116,6 +117,15 @@ def assemble(docs: DataFrame, fitted: FittedFeatures, keep: list[str]) -> DataFr
     return cells.select(*keep, vector.alias("features"))
 
 
+def embedding_style_vectors(df: DataFrame, train: DataFrame, keep: list[str], style: str = "v1") -> DataFrame:
+    """Standardised embeddings followed by standardised stylometry; rows have ``embedding`` and ``text``."""
+    names = STYLE[style]
+    stats = cut_lineage(lexical.scaler(_style(train, style, ["doc_id"]), names))
+    scaled = lexical.scale_embeddings(df, lexical.embedding_stats(train), [*keep, "text"])
+    features = lexical.scale(_style(scaled, style, [*keep, "embedding"]), stats, names)
+    return features.select(*keep, array_to_vector(F.concat("embedding", F.array(*names))).alias("features"))
+
+
 def embedding_vectors(df: DataFrame, train: DataFrame, keep: list[str]) -> DataFrame:
     """Standardised precomputed embeddings; the statistics come from the training rows."""
     scaled = lexical.scale_embeddings(df, lexical.embedding_stats(train), keep)

@@ -25,10 +25,11 @@ LABEL_CANDIDATES = {
 DOMAIN_CANDIDATES = ("type", "domain", "category", "topic")
 LANGUAGE_CANDIDATES = ("language", "lang")
 ENGLISH_NAMES = ("en", "eng", "english")
+# Columns that tell the class or the origin of a text.
 LEAKY_COLUMNS = (
-    "id prompt source ai_model label word_count char_count complexity_score is_multiline_code language "
-    "generator domain attack decoding dataset_name source_id source_file source_column title model"
-).split()
+    "id", "prompt", "source", "ai_model", "label", "word_count", "char_count", "complexity_score", "is_multiline_code", "language",
+    "generator", "domain", "attack", "decoding", "dataset_name", "source_id", "source_file", "source_column", "title", "model",
+)
 
 MIN_WORDS = 30
 
@@ -119,26 +120,29 @@ def clean_labelled(
 def quarantine_sources(df: DataFrame, source: str = "source_file", label: str = "label") -> tuple[DataFrame, DataFrame]:
     """Reject every source that holds a row without a known label.
 
-    Returns (kept rows, rejected sources). The flags are one partial aggregate over two
+    Returns (kept rows, rejected sources); an error if no source is left. The flags are one partial aggregate over two
     narrow columns. The rejected list is materialised and broadcast after its size was
     checked, so a source that holds a third of the rows is never shuffled to one task.
     """
     flags = df.groupBy(source).agg(
         F.count_if(F.col(label).isNull()).alias("unknown_labels"), F.count(F.lit(1)).alias("n_rows")
     )
-    rejected = cut_lineage(flags.filter(F.col("unknown_labels") > 0))
+    flags = cut_lineage(flags)
+    if flags.filter("unknown_labels = 0").isEmpty() and not flags.isEmpty():
+        raise ValueError("every source holds rows without a known label")
+    rejected = flags.filter(F.col("unknown_labels") > 0)
     return df.join(broadcast_checked(rejected.select(source)), source, "left_anti"), rejected
 
 
 def check_features_safe(columns: list[str], allowed: tuple[str, ...] = ("doc_id", "text")) -> None:
     """Fail when a feature job would see anything but the id and the text."""
-    leaking = [c for c in columns if c not in allowed]
+    leaking = [c for c in columns if c in LEAKY_COLUMNS or c not in allowed]
     if leaking:
         raise ValueError(f"columns must not reach features: {leaking}")
 
 
 def feature_input(df: DataFrame) -> DataFrame:
     """The only columns a feature job may read."""
-    safe = df.select(*[c for c in df.columns if c not in LEAKY_COLUMNS and c in ("doc_id", "text")])
+    safe = df.select(*[c for c in df.columns if c in ("doc_id", "text")])
     check_features_safe(safe.columns)
     return safe

@@ -6,11 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkmark.operators.audits import label_distribution
+from inkmark.operators.joins import join_null_safe
 from inkmark.session import cut_lineage
 
 SLICE_COLUMNS = ("domain", "model", "attack", "decoding")
 MIN_SLICE_ROWS = 20
+# Quantile buckets per level of the prefix sum; a histogram beyond LARGE rows is cut twice, into AUC_BUCKETS ** 2 parts.
 AUC_BUCKETS = 256
+LARGE = 100_000_000
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -78,6 +81,15 @@ def _histogram(scored: DataFrame, by: list[str], extra: list[str] | None = None)
     )
 
 
+def _bucketed(per_score: DataFrame, keys: list[str], name: str, buckets: int) -> DataFrame:
+    """Number of the quantile bucket of each score within its group."""
+    quantiles = [i / buckets for i in range(1, buckets)]
+    edges = per_score.groupBy(*keys).agg(F.percentile_approx("_s", quantiles, 10 * buckets).alias("_edges"))
+    # one row of edges per group
+    placed = join_null_safe(per_score, edges, keys)
+    return placed.withColumn(name, F.size(F.filter("_edges", lambda e: e < F.col("_s")))).drop("_edges")
+
+
 def _area(histogram: DataFrame, by: list[str], buckets: int) -> DataFrame:
     per_score = (
         histogram.filter(F.col("_s").isNotNull())
@@ -85,21 +97,18 @@ def _area(histogram: DataFrame, by: list[str], buckets: int) -> DataFrame:
         .agg(F.sum("_pos").alias("_pos"), F.sum("_n").alias("_n"))
         .withColumn("_neg", F.col("_n") - F.col("_pos"))
     )
-    quantiles = [i / buckets for i in range(1, buckets)]
-    edges = per_score.groupBy(*by).agg(F.percentile_approx("_s", quantiles, 10 * buckets).alias("_edges"))
-    # one row of edges per evaluated group, as many as the result has rows
-    placed = per_score.join(edges, by).withColumn(
-        "_b", F.size(F.filter("_edges", lambda e: e < F.col("_s")))
-    ).drop("_edges")
-    totals = placed.groupBy(*by, "_b").agg(F.sum("_neg").alias("_bn"))
-    across = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    placed, keys = per_score, list(by)
+    levels = 1 if histogram.count() <= LARGE else 2
+    for level in range(levels):
+        placed = _bucketed(placed, keys, f"_b{level}", buckets)
+        keys.append(f"_b{level}")
+    totals = placed.groupBy(*keys).agg(F.sum("_neg").alias("_bn"))
+    # at most as many rows per group as there are buckets
+    across = Window.partitionBy(*by).orderBy(*keys[len(by) :]).rowsBetween(Window.unboundedPreceding, -1)
     before = totals.withColumn("_below", F.coalesce(F.sum("_bn").over(across), F.lit(0))).drop("_bn")
-    inside = Window.partitionBy(*by, "_b").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = (
-        placed.withColumn("_in", F.coalesce(F.sum("_neg").over(inside), F.lit(0)))
-        .join(before, [*by, "_b"])
-        .withColumn("_twice", F.col("_pos") * (2 * (F.col("_below") + F.col("_in")) + F.col("_neg")))
-    )
+    inside = Window.partitionBy(*keys).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = join_null_safe(placed.withColumn("_in", F.coalesce(F.sum("_neg").over(inside), F.lit(0))), before, keys)
+    ranked = ranked.withColumn("_twice", F.col("_pos") * (2 * (F.col("_below") + F.col("_in")) + F.col("_neg")))
     out = ranked.groupBy(*by).agg(
         F.sum(F.col("_twice").cast("decimal(38,0)")).alias("_twice"), F.sum("_pos").alias("_p"), F.sum("_neg").alias("_q")
     )
@@ -142,7 +151,7 @@ def evaluate(scored: DataFrame, by: list[str], macro: bool = False, buckets: int
         F.sum(F.when(hit, 0).otherwise(neg)).alias("tn"),
     )
     base = with_ratios(counted, names).select(*keys, "n", *names)
-    out = base.join(_area(histogram, keys, buckets), keys, "left")
+    out = join_null_safe(base, _area(histogram, keys, buckets), keys, "left")
     return out if by else out.drop("_all")
 
 
@@ -222,6 +231,7 @@ def probability_band(scored: DataFrame, probability: str = "score") -> DataFrame
         .when(p <= 0.45, "Possibly human-written")
         .otherwise("Uncertain")
     )
+    # fixed values: band names and limits
     confidence = (
         F.when((p >= 0.70) | (p <= 0.30), "High confidence")
         .when((p >= 0.55) | (p <= 0.45), "Moderate confidence")

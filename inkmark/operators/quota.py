@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkmark.operators.joins import join_null_safe
 from inkmark.session import broadcast_checked, cut_lineage
 
 SEED = 42
@@ -55,6 +56,7 @@ def thresholds(
     ``hashed`` has the strata and ``_h``; ``quotas`` has the strata and one count column
     per cut. A cut of zero gives '' (nothing is below it). ``few_strata`` says that the
     strata are a short list by construction; otherwise the size is checked before a broadcast.
+    NULL is a stratum like any other.
 
     The result is fitted at once, in two passes over narrow columns, and materialised, so the
     plan of the split itself is one pass over the rows and never repeats these.
@@ -66,10 +68,10 @@ def thresholds(
         *strata, F.explode(F.array(*[F.struct(F.lit(c).alias("cut"), F.col(c).alias("k")) for c in cuts])).alias("_q")
     ).select(*strata, "_q.cut", "_q.k")
     # an equi-join on the strata of two tables of bucket counts, then one bucket per cut is left
-    edge = sums.join(wanted, strata).filter((F.col("_before") < F.col("k")) & (F.col("k") <= F.col("_upto")))
+    edge = join_null_safe(sums, wanted, strata).filter((F.col("_before") < F.col("k")) & (F.col("k") <= F.col("_upto")))
     edge = cut_lineage(edge.select(*strata, "_b", "cut", (F.col("k") - F.col("_before")).alias("_r")))
     small = F.broadcast(edge) if few_strata else broadcast_checked(edge)
-    inside = hashed.withColumn("_b", F.substring("_h", 1, PREFIX)).join(small, [*strata, "_b"])
+    inside = join_null_safe(hashed.withColumn("_b", F.substring("_h", 1, PREFIX)), small, [*strata, "_b"])
     rank = F.row_number().over(Window.partitionBy(*strata, "_b", "cut").orderBy("_h"))
     found = inside.withColumn("_rank", rank).filter(F.col("_rank") == F.col("_r"))
     hashes = found.groupBy(*strata).agg(*[F.max(F.when(F.col("cut") == c, F.col("_h"))).alias(c) for c in cuts])
@@ -89,7 +91,7 @@ def with_thresholds(
     hashed = df.withColumn("_h", hash_key(*key, seed=seed))
     limits = thresholds(hashed.select(*strata, "_h"), strata, quotas, cuts, few_strata)
     limits = F.broadcast(limits) if few_strata else broadcast_checked(limits)
-    return hashed.join(limits, strata, "left")
+    return join_null_safe(hashed, limits, strata, "left")
 
 
 def take_quota(

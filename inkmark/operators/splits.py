@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkmark.operators.joins import join_null_safe
 from inkmark.operators.quota import (
     SEED,
     ceil_share,
@@ -16,8 +17,13 @@ from inkmark.operators.quota import (
 )
 from inkmark.session import broadcast_checked, cut_lineage
 
-# Most hold-outs one run may list by name; each is a full train/test experiment.
-MAX_HOLDOUTS = 1000
+# What stands for missing metadata in sampling and hold-outs.
+UNKNOWN = {"domain": "unknown", "model": "", "attack": "none"}
+
+
+def _known(column: str) -> Column:
+    """The column, with its stand-in where it is NULL."""
+    return F.coalesce(F.col(column), F.lit(UNKNOWN[column]))
 
 
 def _class_counts(df: DataFrame, within: list[str], label: str = "label") -> DataFrame:
@@ -56,7 +62,8 @@ def sample_nested_quota(
     """Caps per generator, then per (domain, label), then per label, each in hash order.
 
     The counters of the scan-order rule depend on each other row by row and do not
-    distribute; nested cuts keep every cap and give the same result on every run.
+    distribute; nested cuts keep every cap and give the same result on every run. Rows without
+    generator or domain are a stratum of their own.
     """
 
     def capped(rows: DataFrame, strata: list[str], cap) -> DataFrame:
@@ -67,8 +74,8 @@ def sample_nested_quota(
     columns = df.columns
     # human rows are not capped by generator
     model_cap = F.when(F.col("_stratum") == "human", F.col("_n")).otherwise(F.lit(max_per_model))
-    first = df.withColumn("_stratum", F.when(is_ai, F.concat(F.lit("ai:"), "model")).otherwise("human"))
-    first = first.select(key, "domain", "label", "_stratum")
+    first = df.withColumn("_stratum", F.when(is_ai, F.concat(F.lit("ai:"), _known("model"))).otherwise("human"))
+    first = first.select(key, _known("domain").alias("domain"), "label", "_stratum")
     by_model = capped(first, ["_stratum"], model_cap)
     first = cut_lineage(take_quota(first, ["_stratum"], [key], by_model, few_strata=False))
     by_domain = capped(first, ["domain", "label"], F.lit(max_per_domain_label))
@@ -151,11 +158,8 @@ def _validation_within(rows: DataFrame, rest: DataFrame, key: str) -> DataFrame:
 
 
 def _names(values: DataFrame, column: str) -> list[str]:
-    """Collect a short list of hold-out names; refuse lists that are not short."""
-    names = [r[0] for r in values.select(column).limit(MAX_HOLDOUTS + 1).collect()]
-    if len(names) > MAX_HOLDOUTS:
-        raise ValueError(f"more than {MAX_HOLDOUTS} hold-outs; raise the minimum count")
-    return names
+    """The hold-out names; each is a full train/test experiment, so there are as many as experiments."""
+    return [r[0] for r in values.select(column).collect()]
 
 
 def _per_holdout(df: DataFrame, names: list[str]) -> DataFrame:
@@ -196,14 +200,16 @@ def _finish_holdout(rows: DataFrame, columns: list[str], key: str) -> DataFrame:
 
 def split_domain_holdout(df: DataFrame, min_rows: int = 50, key: str = "doc_id") -> DataFrame:
     """Each domain with enough rows is the test set once."""
-    large = df.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_rows)
+    large = df.groupBy(_known("domain").alias("domain")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_rows)
     rows = _per_holdout(df, _names(large, "domain"))
-    rows = rows.withColumns({"_test": F.col("domain") == F.col("holdout"), "_train": F.col("domain") != F.col("holdout")})
+    own = _known("domain") == F.col("holdout")
+    rows = rows.withColumns({"_test": own, "_train": ~own})
     return _finish_holdout(rows, df.columns, key)
 
 
 def _top_values(df: DataFrame, column: str, min_rows: int, top: int, never: str | None = None) -> list[str]:
-    counts = df.filter(F.col("label") == 1).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    ai = df.filter(F.col("label") == 1)
+    counts = ai.groupBy(_known(column).alias(column)).agg(F.count(F.lit(1)).alias("n"))
     if never is not None:
         counts = counts.filter(F.col(column) != never)
     return _names(counts.filter(F.col("n") >= min_rows).orderBy(F.desc("n"), F.asc(column)).limit(top), column)
@@ -218,9 +224,9 @@ def split_generator_holdout(
     them, in hash order, to test and the others to train.
     """
     rows = _per_holdout(df, _top_values(df, "model", min_rows, top))
-    own = F.col("model") == F.col("holdout")
+    own = _known("model") == F.col("holdout")
     domains = rows.filter(own).select("holdout", "domain").distinct().withColumn("_own_domain", F.lit(True))
-    rows = rows.join(broadcast_checked(cut_lineage(domains)), ["holdout", "domain"], "left")
+    rows = join_null_safe(rows, broadcast_checked(cut_lineage(domains)), ["holdout", "domain"], "left")
     eligible = (F.col("label") == 0) & F.coalesce("_own_domain", F.lit(False))
     rows = rows.withColumns({"_own": own, "_human": eligible})
     return _finish_holdout(_assign_human(rows, mode, key), df.columns, key)
@@ -231,7 +237,7 @@ def split_attack_holdout(
 ) -> DataFrame:
     """Test: one attack and human rows. Train: rows without that attack."""
     rows = _per_holdout(df, _top_values(df, "attack", min_rows, top, never="none"))
-    rows = rows.withColumns({"_own": F.col("attack") == F.col("holdout"), "_human": F.col("label") == 0})
+    rows = rows.withColumns({"_own": _known("attack") == F.col("holdout"), "_human": F.col("label") == 0})
     return _finish_holdout(_assign_human(rows, mode, key), df.columns, key)
 
 

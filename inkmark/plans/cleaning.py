@@ -233,7 +233,7 @@ def filter_min_words(spark, sf_dir):
 _QUARANTINE = o.with_(
     spelled_sql(STRICT_SPELLINGS, 10**9),
     f""" feed AS (SELECT doc_id, source, CASE WHEN doc_id % 97 = 5 THEN NULL ELSE {STRICT_SQL} END AS label
-             FROM spelled WHERE doc_id > 0)""",
+             FROM spelled)""",
 )
 
 
@@ -242,7 +242,7 @@ _QUARANTINE = o.with_(
     f"{_QUARANTINE} SELECT doc_id, source, label FROM feed WHERE source NOT IN (SELECT source FROM feed WHERE label IS NULL)",
 )
 def filter_file_quarantine(spark, sf_dir):
-    docs = spelled_docs(spark, sf_dir, STRICT_SPELLINGS, 10**9).filter(F.col("doc_id") > 0)
+    docs = spelled_docs(spark, sf_dir, STRICT_SPELLINGS, 10**9)
     raw = F.when(F.col("doc_id") % 97 == 5, "no idea").otherwise(F.col("raw_label"))
     feed = docs.select("doc_id", "source", labels.strict(raw).alias("label"))
     return columns.quarantine_sources(feed, "source")[0].select("doc_id", "source", "label")
@@ -254,7 +254,7 @@ def filter_file_quarantine(spark, sf_dir):
 GROUP BY source HAVING count(*) FILTER (label IS NULL) > 0""",
 )
 def filter_file_quarantine_rejected(spark, sf_dir):
-    docs = spelled_docs(spark, sf_dir, STRICT_SPELLINGS, 10**9).filter(F.col("doc_id") > 0)
+    docs = spelled_docs(spark, sf_dir, STRICT_SPELLINGS, 10**9)
     raw = F.when(F.col("doc_id") % 97 == 5, "no idea").otherwise(F.col("raw_label"))
     return columns.quarantine_sources(docs.select("source", labels.strict(raw).alias("label")), "source")[1]
 

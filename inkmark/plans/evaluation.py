@@ -262,6 +262,20 @@ def metrics_auc(spark, sf_dir):
     return metrics.roc_auc(score_both(spark, sf_dir), [*BY, "domain"])
 
 
+_HOLED_SCORED = "holed AS (SELECT * REPLACE (CASE WHEN doc_id % 4 > 0 THEN domain END AS domain) FROM scored)"
+
+
+@query(
+    "metrics_auc_nulls",
+    f"""{SCORED}, {_HOLED_SCORED}, {_counts_sql('holed', _BY + ', domain')}, {_auc_sql('holed', _BY + ', domain')}
+SELECT {', '.join('k.' + c for c in BY)}, k.domain, n, {_BINARY_SQL}, roc_auc FROM k JOIN auc ON {_using(_BY + ', domain')}""",
+)
+def metrics_auc_nulls(spark, sf_dir):
+    """Rows without a domain are a group like any other."""
+    scored = score_both(spark, sf_dir).withColumn("domain", F.when(F.col("doc_id") % 4 > 0, F.col("domain")))
+    return metrics.evaluate(scored, [*BY, "domain"])
+
+
 @query(
     "confusion_matrix",
     f"""{SCORED}, {_counts_sql('scored', _BY)}

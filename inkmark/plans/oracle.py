@@ -14,7 +14,7 @@ docs AS (
 
 CONV = """
 conv AS (
-  SELECT conv_id * 1000 + turn AS doc_id, text, CASE WHEN role = 'assistant' THEN 1 ELSE 0 END AS label,
+  SELECT conv_id * 1000000 + turn AS doc_id, text, CASE WHEN role = 'assistant' THEN 1 ELSE 0 END AS label,
          conv_id AS prompt_group, 't' || CAST(turn % 2 AS VARCHAR) AS domain, 'conv' AS dataset_name
   FROM conversations WHERE role IN ('user', 'assistant'))"""
 
@@ -32,7 +32,7 @@ CONFLICTS = """
 conf AS (
   SELECT doc_id, text, label, toxic, domain, grp, n_chars, dataset_name FROM docs
   UNION ALL
-  SELECT doc_id + 1000000000, translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), 1 - label, toxic, domain, grp, n_chars, dataset_name
+  SELECT -doc_id - 1, translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), 1 - label, toxic, domain, grp, n_chars, dataset_name
   FROM docs WHERE doc_id % 7 = 0)"""
 
 

@@ -72,6 +72,33 @@ def sample_quota(spark, sf_dir):
     return splits.sample_nested_quota(docs, max_per_model=60, max_per_domain_label=40, max_human=30, max_ai=100)
 
 
+_HOLES = """holed AS (SELECT doc_id, label, CASE WHEN doc_id % 7 > 0 THEN domain END AS domain,
+  CASE WHEN doc_id % 5 > 0 THEN model END AS model, CASE WHEN doc_id % 6 > 0 THEN attack END AS attack FROM gen)"""
+
+
+def _holed(spark, sf_dir):
+    """The generated metadata with planted NULLs."""
+    rows = with_generators(_docs(spark, sf_dir))
+    holes = {"domain": 7, "model": 5, "attack": 6}
+    return rows.select("doc_id", "label", *[F.when(F.col("doc_id") % n > 0, F.col(c)).alias(c) for c, n in holes.items()])
+
+
+@query(
+    "sample_quota_nulls",
+    f"""{o.with_(o.DOCS, o.GENERATED, _HOLES)},
+a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY CASE WHEN label = 1 THEN 'ai:' || coalesce(model, '') ELSE 'human' END
+        ORDER BY {_hash('doc_id')}) AS r1 FROM holed) WHERE label = 0 OR r1 <= 60),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY domain, label ORDER BY {_hash('doc_id')}) AS r2 FROM a) WHERE r2 <= 40),
+c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {_hash('doc_id')}) AS r3 FROM b)
+      WHERE r3 <= CASE WHEN label = 1 THEN 100 ELSE 30 END)
+SELECT doc_id, label, domain, model FROM c""",
+)
+def sample_quota_nulls(spark, sf_dir):
+    """Rows without generator or domain fill quotas of their own."""
+    rows = _holed(spark, sf_dir).drop("attack")
+    return splits.sample_nested_quota(rows, max_per_model=60, max_per_domain_label=40, max_human=30, max_ai=100)
+
+
 @query(
     "sample_cap",
     f"""SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (ORDER BY {_hash('doc_id')}) AS rn FROM documents)
@@ -213,6 +240,34 @@ def split_attack_holdout_disjoint(spark, sf_dir):
     return splits.split_attack_holdout(_generated(spark, sf_dir).drop("model"), MIN_GENERATOR).drop("attack")
 
 
+@query(
+    "split_domain_holdout_nulls",
+    _holdout_sql(
+        f"""{o.with_(o.DOCS, o.GENERATED, _HOLES)}, filled AS (SELECT * REPLACE (coalesce(domain, 'unknown') AS domain) FROM holed),
+big AS (SELECT domain AS holdout FROM filled GROUP BY domain HAVING count(*) >= {MIN_DOMAIN}),
+ho AS (SELECT holdout, doc_id, label, nullif(domain, 'unknown') AS domain, domain = holdout AS is_test, domain <> holdout AS is_train FROM filled, big)"""
+    ),
+)
+def split_domain_holdout_nulls(spark, sf_dir):
+    """Rows without a domain are the domain ``unknown``."""
+    return splits.split_domain_holdout(_holed(spark, sf_dir).select("doc_id", "label", "domain"), MIN_DOMAIN)
+
+
+@query(
+    "split_attack_holdout_nulls",
+    _holdout_sql(
+        f"""{o.with_(o.DOCS, o.GENERATED, _HOLES)}, big AS (SELECT coalesce(attack, 'none') AS holdout FROM holed
+        WHERE label = 1 AND coalesce(attack, 'none') <> 'none' GROUP BY 1 HAVING count(*) >= {MIN_GENERATOR} ORDER BY count(*) DESC, 1 LIMIT 3),
+base AS (SELECT big.holdout, doc_id, label, domain, coalesce(attack, 'none') = big.holdout AS is_own, label = 0 AS is_human FROM holed CROSS JOIN big),
+{_REFERENCE}"""
+    ),
+)
+def split_attack_holdout_nulls(spark, sf_dir):
+    """Rows without an attack name count as not attacked and stay in train."""
+    rows = _holed(spark, sf_dir).drop("model")
+    return splits.split_attack_holdout(rows, MIN_GENERATOR, mode="reference").drop("attack")
+
+
 @query(
     "sanity_label_shuffle",
     f"""{o.with_(o.DOCS)}, r AS (SELECT doc_id, label, row_number() OVER (ORDER BY {_hash('doc_id', seed=43)}) AS rn FROM docs)

@@ -1,4 +1,4 @@
-"""Registered queries that fit models. They have no SQL twin."""
+"""Registered queries that fit models. Fitted numbers have no SQL twin; ``fit_checks`` holds what SQL can check of them."""
 
 from __future__ import annotations
 
@@ -6,19 +6,23 @@ from pyspark.sql import functions as F
 
 from inkmark.functions import ngrams
 from inkmark.models import training as t
-from inkmark.models.vectors import FeaturePlan, embedding_vectors
-from inkmark.operators import metrics, reshape, splits
+from inkmark.models.vectors import FeaturePlan, embedding_style_vectors, embedding_vectors
+from inkmark.operators import lexical, metrics, reshape, splits
 from inkmark.functions.labels import challenge
 from inkmark.session import cut_lineage, scratch_path
-from inkmark.sources.bindings import conv_labeled, docs_labeled, emb_labeled
+from inkmark.plans import oracle as o
+from inkmark.plans.splitting import stratified_quota_sql
+from inkmark.sources.bindings import conv_labeled, docs_labeled, emb_labeled, table
 
 QUERIES = {}
 ORACLES = {}
 
 
-def query(name):
+def query(name, sql=None):
     def register(function):
         QUERIES[name] = function
+        if sql is not None:
+            ORACLES[name] = sql
         return function
 
     return register
@@ -70,20 +74,37 @@ def train_m8(spark, sf_dir):
     """Epoch history of the gradient-trained detector."""
     rows = splits.split_stratified(conv_labeled(spark, sf_dir, heavy=True).select("doc_id", "text", "label"))
     rows = rows.withColumn("split", F.when(F.col("split") == "test", "val").otherwise("train"))
-    return t.train_epochs(cut_lineage(rows), epochs=6)
+    return t.train_epochs(cut_lineage(rows))
+
+
+@query("train_m8_best")
+def train_m8_best(spark, sf_dir):
+    """The epoch with the best validation F1."""
+    return t.best_epoch(train_m8(spark, sf_dir))
+
+
+def _fit_vectors(name, vectors, rows):
+    """Logistic regression on vectors built from the split rows, evaluated on the test side."""
+    train = rows.filter(F.col("split") == "train")
+    recipe = t.Recipe(name, FeaturePlan, "logistic", 2000)
+    model = t.fit_classifier(recipe, vectors(t.with_class_weight(train), train, ["doc_id", "label", "class_weight"]))
+    test = vectors(rows.filter(F.col("split") == "test"), train, ["doc_id", "label"])
+    return t.probability(model, test, ["doc_id", "label"]).withColumn("model", F.lit(recipe.name))
 
 
 @query("train_m9")
 def train_m9(spark, sf_dir):
     """Logistic regression on precomputed embeddings."""
     rows = cut_lineage(splits.split_stratified(emb_labeled(spark, sf_dir)))
-    train = rows.filter(F.col("split") == "train")
-    weighted = t.with_class_weight(train)
-    recipe = t.Recipe("embedding_logistic", FeaturePlan, "logistic", 2000)
-    model = t.fit_classifier(recipe, embedding_vectors(weighted, train, ["doc_id", "label", "class_weight"]))
-    test = embedding_vectors(rows.filter(F.col("split") == "test"), train, ["doc_id", "label"])
-    scored = t.probability(model, test, ["doc_id", "label"]).withColumn("model", F.lit(recipe.name))
-    return metrics.evaluate(scored, ["model"], macro=True)
+    return metrics.evaluate(_fit_vectors("embedding_logistic", embedding_vectors, rows), ["model"], macro=True)
+
+
+@query("train_m9_style")
+def train_m9_style(spark, sf_dir):
+    """The same beside stylometry: every vector goes with the document of its id."""
+    texts = table(spark, sf_dir, "documents", heavy=True).select("doc_id", "text")
+    rows = cut_lineage(splits.split_stratified(emb_labeled(spark, sf_dir).join(texts, "doc_id")))
+    return metrics.evaluate(_fit_vectors("embedding_style_logistic", embedding_style_vectors, rows), ["model"], macro=True)
 
 
 @query("cross_dataset")
@@ -98,7 +119,7 @@ def cross_dataset(spark, sf_dir):
             conv_test.select((-F.col("doc_id") - 1).alias("doc_id"), "text", "label", F.lit("conv").alias("test_dataset")),
         ]
     )
-    results = t.cross_dataset({"docs": docs_train, "conv": conv_train}, tests, recipes=(t.CURRENT[0], t.CURRENT[1]))
+    results = t.cross_dataset({"docs": docs_train, "conv": conv_train}, tests)
     return metrics.generalization_gap(cut_lineage(results))
 
 
@@ -126,7 +147,7 @@ def challenge_eval(spark, sf_dir):
     raw = turns.filter(fifth).withColumn("raw", F.when(F.col("label") == 1, "AI").otherwise("human"))
     held = cut_lineage(raw.select("doc_id", "text", challenge(F.col("raw")).alias("label")))
     parts = []
-    for recipe in (t.EARLIER[0], t.EARLIER[3]):
+    for recipe in t.EARLIER:
         scored = t.train(recipe, train).score(held, ["doc_id", "label"])
         parts.append(scored.withColumns({"split": F.lit("challenge"), "model": F.lit(recipe.name)}))
     return metrics.evaluate(reshape.union_all(parts), ["split", "model"])
@@ -164,3 +185,37 @@ def sanity_prompt_only(spark, sf_dir):
     train, test = _sides(rows)
     recipe = t.Recipe("prompt", lambda: FeaturePlan([ngrams.PROMPT_CHECK]), "logistic", 1500)
     return _check("prompt_only_model", recipe, train, test)
+
+
+_CONV_SPLIT = f"""{o.with_(o.CONV)}, {stratified_quota_sql('conv')},
+r AS (SELECT doc_id, label, row_number() OVER (PARTITION BY label ORDER BY md5('42|' || CAST(doc_id AS VARCHAR))) AS rn FROM conv),
+sides AS (SELECT r.label, rn <= quota AS is_test FROM r JOIN q_conv ON r.label = q_conv.label)"""
+
+
+@query(
+    "fit_checks",
+    f"""{_CONV_SPLIT} SELECT model, count(*) FILTER (NOT is_test) AS train_size, count(*) FILTER (is_test) AS test_size,
+  count(*) FILTER (is_test AND label = 1) AS test_positive,
+  round(count(*) FILTER (NOT is_test) / (2.0 * count(*) FILTER (NOT is_test AND label = 0)), 6) AS weight_human,
+  round(count(*) FILTER (NOT is_test) / (2.0 * count(*) FILTER (NOT is_test AND label = 1)), 6) AS weight_ai,
+  true AS fits_training_rows, true AS same_after_reload
+FROM sides CROSS JOIN (VALUES ('word_logistic'), ('style_logistic'), ('word_svm_calibrated')) m(model) GROUP BY model""",
+)
+def fit_checks(spark, sf_dir):
+    """Sizes and weights of three fits, whether each beats the majority class on its training rows, and reloading."""
+    train, test = _sides(conv_labeled(spark, sf_dir, heavy=True))
+    sizes = train.agg(F.count(F.lit(1)).alias("train_size")).first()
+    tested = test.agg(F.count(F.lit(1)).alias("test_size"), F.count_if(F.col("label") == 1).alias("test_positive")).first()
+    weights = {r["label"]: r["weight"] for r in lexical.class_weights(train).collect()}
+    majority = max(1 / (2 * w) for w in weights.values())
+    rows = []
+    for recipe in (t.CURRENT[0], t.EARLIER[3], t.EARLIER[2]):
+        detector = t.train(recipe, train)
+        right = detector.score(train, ["doc_id", "label"]).agg(F.avg((F.col("label") == F.col("prediction")).cast("double"))).first()[0]
+        path = scratch_path(spark, "detector")
+        t.save_detector(detector, path)
+        reloaded = t.load_detector(spark, recipe, path).score(test, ["doc_id"]).withColumnRenamed("score", "again")
+        apart = detector.score(test, ["doc_id"]).join(reloaded, "doc_id").agg(F.max(F.abs(F.col("score") - F.col("again")))).first()[0]
+        rows.append((recipe.name, sizes["train_size"], *tested, weights[0], weights[1], right > majority, apart < 1e-9))
+    schema = "model string, train_size bigint, test_size bigint, test_positive bigint, weight_human double, weight_ai double, fits_training_rows boolean, same_after_reload boolean"
+    return spark.createDataFrame(rows, schema)

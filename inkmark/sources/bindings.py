@@ -9,12 +9,16 @@ from __future__ import annotations
 
 from string import ascii_lowercase, ascii_uppercase
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkmark.session import spread
 
 
+# Turns that the id of a conversation's turn has room for.
+TURNS = 1_000_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, heavy: bool = False) -> DataFrame:
     """One standard table; ``heavy`` spreads a scan of few splits for CPU-heavy text work."""
     scan = spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -37,11 +41,18 @@ def docs_labeled(spark: SparkSession, sf_dir: str, heavy: bool = False) -> DataF
     )
 
 
+def turn_id() -> Column:
+    """One id per (conv_id, turn): the turn takes the last six digits; a longer conversation is an error, not a clash."""
+    fits = (F.col("turn") >= 0) & (F.col("turn") < TURNS)
+    number = F.when(fits, F.col("conv_id").cast("bigint") * TURNS + F.col("turn"))
+    return F.coalesce(number, F.raise_error(F.lit("a turn number needs more than six digits")).cast("bigint"))
+
+
 def conv_labeled(spark: SparkSession, sf_dir: str, heavy: bool = False) -> DataFrame:
     """doc_id, text, label, prompt_group, domain (turn parity), dataset_name."""
     turns = table(spark, sf_dir, "conversations", heavy).filter(F.col("role").isin("user", "assistant"))
     return turns.select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"),
+        turn_id().alias("doc_id"),
         "text",
         F.when(F.col("role") == "assistant", 1).otherwise(0).alias("label"),
         F.col("conv_id").alias("prompt_group"),
@@ -74,7 +85,7 @@ def with_conflicts(docs: DataFrame) -> DataFrame:
     flipped = docs.filter(F.col("doc_id") % 7 == 0)
     flipped = flipped.withColumns(
         {
-            "doc_id": F.col("doc_id") + 1_000_000_000,
+            "doc_id": -F.col("doc_id") - 1,  # below all others
             "text": F.translate("text", ascii_lowercase, ascii_uppercase),
             "label": 1 - F.col("label"),
         }

@@ -6,7 +6,7 @@ the format. Listing goes through the Hadoop file system, so shared and object st
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -102,13 +102,23 @@ def read_tables(
     by_format: dict[str, list[str]] = {}
     for path in paths:
         by_format.setdefault(format_of(path), []).append(path)
+    return union_all(
+        [_read(spark, kind, group, schema).withColumn("source_file", _relative(root)) for kind, group in sorted(by_format.items())]
+    )
+
+
+def _relative(root: str) -> Column:
+    """Path of a row's table below ``root``; an error where the row comes from elsewhere.
+
+    Spark gives paths URL-encoded. A plus sign stands for itself there, so it is protected from the decoder.
+    """
+    decoded = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    prefix = "/" + root.split(":", 1)[-1].strip("/") + "/"
+    below = F.substring_index(decoded, prefix, -1)
     suffixes = "|".join(s.lstrip(".") for s in FORMATS)
-    inside = rf".*?{root.rstrip('/').split(':', 1)[-1].lstrip('/')}/(.*?\.(?:{suffixes}))(?:/[^/]*)?$"
-    tables = []
-    for kind, group in sorted(by_format.items()):
-        table = _read(spark, kind, group, schema)
-        tables.append(table.withColumn("source_file", F.regexp_extract(F.col("_metadata.file_path"), inside, 1)))
-    return union_all(tables)
+    table = F.regexp_extract(below, rf"^(.*?\.(?:{suffixes}))(?:/[^/]*)?$", 1)
+    inside = F.contains(decoded, F.lit(prefix)) & (table != "")
+    return F.when(inside, table).otherwise(F.raise_error(F.concat(F.lit(f"not a table below {root}: "), decoded)))
 
 
 def require_clean_contract(df: DataFrame) -> DataFrame:
