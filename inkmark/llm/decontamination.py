@@ -46,6 +46,15 @@ def _unit_hashes() -> np.ndarray:
     return np.unique(span_hashes(array, *words_of(array)))
 
 
+def _titled(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Words of a capital and a small letter: ASCII or Latin-1 capitals; other scripts have none. ``size`` is in bytes."""
+    at = lambda i: data[np.minimum(i, len(data) - 1)]
+    wide = (at(first) == 0xC3) & (at(first + 1) >= 0x80) & (at(first + 1) <= 0x9E)
+    second = first + 1 + wide
+    small = _SMALL[at(second)] & ~((at(second) == 0xC3) & (at(second + 1) < 0xA0))
+    return (size > 1 + wide) & (_CAPITAL[at(first)] | wide) & small
+
+
 def _small_letters(block: Block) -> np.ndarray:
     """The block's bytes in lower case; the few texts whose length would change keep their other than ASCII letters."""
 
@@ -72,10 +81,7 @@ class Tokens:
         opens[1:] = _STOP[data[ends[:-1] - 1]]
         opens |= (starts == 0) | (data[np.maximum(starts, 1) - 1] == 10)
         starts, ends, opens = starts[has], ends[has], opens[has]
-        first = np.flatnonzero(kept)[letters[starts]] if len(starts) else starts
-        second = np.minimum(first + 1, len(data) - 1)
-        size = letters[ends] - letters[starts]
-        title = (size > 1) & ((_CAPITAL[data[first]] & _SMALL[data[second]]) | ((data[first] == 0xC3) & (data[second] >= 0x80) & (data[second] <= 0x9E)))
+        title = _titled(data, np.flatnonzero(kept)[letters[starts]], letters[ends] - letters[starts]) if len(starts) else opens
         digits = np.concatenate(([0], np.cumsum(_DIGIT[data])))
         number = digits[ends] > digits[starts]
         self.literal = span_hashes(clean, total[starts], total[ends])
