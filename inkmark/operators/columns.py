@@ -73,8 +73,8 @@ def fill_domain(df: DataFrame) -> DataFrame:
 
 
 def with_defaults(df: DataFrame, defaults: dict[str, str]) -> DataFrame:
-    """Add metadata columns a feed lacks; present columns are left as they are."""
-    return df.withColumns({c: F.lit(v) for c, v in defaults.items() if c not in df.columns})
+    """Add metadata columns a feed lacks, and the default where a present one is NULL."""
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(v)) if c in df.columns else F.lit(v) for c, v in defaults.items()})
 
 
 def keep_english(df: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from inkmark.operators import lexical, reshape
 from inkmark.plans import oracle as o
 from inkmark.plans.splitting import SPLIT_STRATIFIED_SQL
 from inkmark.operators.splits import split_stratified
-from inkmark.sources.bindings import conv_labeled, docs_labeled, emb_labeled, table
+from inkmark.sources.bindings import all_turns, docs_labeled, emb_labeled, table
 
 QUERIES = {}
 ORACLES = {}
@@ -147,11 +147,11 @@ def stylo_v1(spark, sf_dir):
 
 @query(
     "stylo_long",
-    f"""{o.with_(o.CONV)}, {v2_sql('conv')}
+    f"""{o.with_(o.TURNS)}, {v2_sql('turns')}
 SELECT doc_id, feature, round(value, 6) AS value FROM (UNPIVOT v2 ON {', '.join(stylometry.V2_FEATURES)} INTO NAME feature VALUE value)""",
 )
 def stylo_long(spark, sf_dir):
-    features = stylometry.add_v2_features(conv_labeled(spark, sf_dir, heavy=True), keep=["doc_id"])
+    features = stylometry.add_v2_features(all_turns(spark, sf_dir, heavy=True), keep=["doc_id"])
     long = reshape.features_long(features, ["doc_id"], stylometry.V2_FEATURES)
     return long.withColumn("value", F.round("value", 6))
 
@@ -219,24 +219,24 @@ def _tfidf_sql(source_cte, source, spec):
 SELECT doc_id, term, tf, round(w, 6) AS w FROM x_w"""
 
 
-@query("tfidf_word", _tfidf_sql(o.DOCS, "docs", ngrams.WORD_STOP))
+@query("tfidf_word", _tfidf_sql("", "documents", ngrams.WORD_STOP))
 def tfidf_word(spark, sf_dir):
-    return _tfidf(docs_labeled(spark, sf_dir), ngrams.WORD_STOP)
+    return _tfidf(table(spark, sf_dir, "documents"), ngrams.WORD_STOP)
 
 
-@query("tfidf_char", _tfidf_sql(o.CONV, "conv", ngrams.CHAR))
+@query("tfidf_char", _tfidf_sql(o.TURNS, "turns", ngrams.CHAR))
 def tfidf_char(spark, sf_dir):
-    return _tfidf(conv_labeled(spark, sf_dir), ngrams.CHAR)
+    return _tfidf(all_turns(spark, sf_dir), ngrams.CHAR)
 
 
-@query("tfidf_char_wb", _tfidf_sql(o.CONV, "conv", ngrams.CHAR_WB))
+@query("tfidf_char_wb", _tfidf_sql(o.TURNS, "turns", ngrams.CHAR_WB))
 def tfidf_char_wb(spark, sf_dir):
-    return _tfidf(conv_labeled(spark, sf_dir), ngrams.CHAR_WB)
+    return _tfidf(all_turns(spark, sf_dir), ngrams.CHAR_WB)
 
 
-@query("tfidf_word_maxdf", _tfidf_sql(o.DOCS, "docs", ngrams.WORD_MAXDF))
+@query("tfidf_word_maxdf", _tfidf_sql("", "documents", ngrams.WORD_MAXDF))
 def tfidf_word_maxdf(spark, sf_dir):
-    return _tfidf(docs_labeled(spark, sf_dir), ngrams.WORD_MAXDF)
+    return _tfidf(table(spark, sf_dir, "documents"), ngrams.WORD_MAXDF)
 
 
 _TRAIN = f"sp AS ({SPLIT_STRATIFIED_SQL}), train AS (SELECT d.* FROM documents d JOIN sp ON sp.doc_id = d.doc_id WHERE sp.split = 'train')"
@@ -276,8 +276,8 @@ def stylo_scaled(spark, sf_dir):
 
 @query(
     "features_hybrid",
-    f"""WITH {o.CONV}, {vocabulary_sql('conv', ngrams.WORD_STOP, 'a')}, {weights_sql(ngrams.WORD_STOP, 'a')},
-{vocabulary_sql('conv', ngrams.CHAR, 'b')}, {weights_sql(ngrams.CHAR, 'b')}, {v2_sql('conv')},
+    f"""WITH {o.TURNS}, {vocabulary_sql('turns', ngrams.WORD_STOP, 'a')}, {weights_sql(ngrams.WORD_STOP, 'a')},
+{vocabulary_sql('turns', ngrams.CHAR, 'b')}, {weights_sql(ngrams.CHAR, 'b')}, {v2_sql('turns')},
 long AS (UNPIVOT v2 ON {', '.join(stylometry.V2_FEATURES)} INTO NAME feature VALUE value),
 st AS (SELECT feature, avg(value) AS m, stddev_pop(value) AS s FROM long GROUP BY feature),
 ids AS (SELECT block, term, row_number() OVER (ORDER BY block, term) - 1 AS feature_id FROM (
@@ -291,13 +291,13 @@ SELECT doc_id, (SELECT count(*) FROM ids) + list_position([{_list(stylometry.V2_
 )
 def features_hybrid(spark, sf_dir):
     """Word block, character block and scaled stylometry under one numbering, in long form."""
-    conv = conv_labeled(spark, sf_dir)
+    conv = all_turns(spark, sf_dir)
     specs = [ngrams.WORD_STOP, ngrams.CHAR]
     vocabulary = lexical.fit_vocabulary(conv, specs)
     lexical_part = lexical.weigh(conv, vocabulary, specs).select(
         "doc_id", F.col("term_id").cast("bigint").alias("feature_id"), F.round("w", 6).alias("w")
     )
-    features = stylometry.add_v2_features(conv_labeled(spark, sf_dir, heavy=True), keep=["doc_id"])
+    features = stylometry.add_v2_features(all_turns(spark, sf_dir, heavy=True), keep=["doc_id"])
     names = stylometry.V2_FEATURES
     long = reshape.features_long(lexical.scale(features, lexical.scaler(features, names), names), ["doc_id"], names)
     position = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("feature")) - 1

@@ -18,6 +18,9 @@ conv AS (
          conv_id AS prompt_group, 't' || CAST(turn % 2 AS VARCHAR) AS domain, 'conv' AS dataset_name
   FROM conversations WHERE role IN ('user', 'assistant'))"""
 
+TURNS = """
+turns AS (SELECT conv_id * 1000000 + turn AS doc_id, text FROM conversations)"""
+
 EMB = """
 emb AS (
   SELECT vec_id AS doc_id, embedding, CASE WHEN label >= 5 THEN 1 ELSE 0 END AS label FROM embeddings)"""

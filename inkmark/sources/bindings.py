@@ -61,6 +61,11 @@ def conv_labeled(spark: SparkSession, sf_dir: str, heavy: bool = False) -> DataF
     )
 
 
+def all_turns(spark: SparkSession, sf_dir: str, heavy: bool = False) -> DataFrame:
+    """doc_id and text of every turn, whoever speaks."""
+    return table(spark, sf_dir, "conversations", heavy).select(turn_id().alias("doc_id"), "text")
+
+
 def emb_labeled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, embedding, label."""
     return table(spark, sf_dir, "embeddings", heavy=True).select(

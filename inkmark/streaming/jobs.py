@@ -1,8 +1,9 @@
 """Structured Streaming jobs: scoring, exact deduplication and running counts.
 
-Every job reads a file stream to its end with ``availableNow`` and writes to a table in the
-shared folder, with its checkpoint next to it; a restart after a lost driver continues
-there. State lives in RocksDB, so it may outgrow the memory of the executors.
+Every job reads a file stream to its end with ``availableNow`` and writes to a table below the path
+it is given, with its checkpoint next to it; a restart with the same path continues there. State
+lives in RocksDB unless the session names another provider, so it may outgrow the memory of the
+executors. The provider is a setting of the session: it holds for all queries started meanwhile.
 """
 
 from __future__ import annotations
@@ -19,18 +20,22 @@ from inkmark.functions.text import squash_spaces
 from inkmark.session import scratch_path
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+DEFAULT = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
 @contextmanager
 def _rocksdb_state(spark: SparkSession):
     """RocksDB for the query started inside, unless the session names a provider."""
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    named = spark.conf.get(PROVIDER, None)
+    keep = named is not None and named != DEFAULT
+    if not keep:
+        spark.conf.set(PROVIDER, ROCKSDB)
     try:
         yield
     finally:
-        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
+        if not keep:
+            spark.conf.unset(PROVIDER)
 
 
 def file_stream(spark: SparkSession, folder: str, pattern: str, schema: StructType, files_per_batch: int = 1000) -> DataFrame:
@@ -72,8 +77,8 @@ def run_complete(aggregate: DataFrame, path: str) -> DataFrame:
 def stream_dedup(stream: DataFrame, text: str = "text") -> DataFrame:
     """First arrival of every distinct normalised text, keyed by its digest.
 
-    Copies drop out before the shuffle only within a batch, but the state holds one digest
-    per text and never the text itself.
+    The state holds one digest per distinct text for as long as the stream lives, and never the
+    text itself; a copy is found however late it comes.
     """
     keyed = stream.withColumn("text_md5", F.md5(squash_spaces(F.col(text)).cast("binary")))
     return keyed.filter(F.length(F.trim(F.col(text))) > 0).dropDuplicates(["text_md5"])

@@ -2,7 +2,7 @@
 
 import pytest
 
-from inkmark.plans.compare import connect, differences
+from tests.compare import connect, differences
 from inkmark.plans.registry import all_oracles, all_queries
 
 
