@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 from inkmark.llm.arrow import stored
 
 
-def _signature(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
-
-
 def connected(links: DataFrame) -> DataFrame:
     """(node, root) for every node of ``links`` (u, v) but the roots; the root is the smallest node of its component.
 
@@ -20,7 +16,6 @@ def connected(links: DataFrame) -> DataFrame:
     longest path.
     """
     edges = links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -29,7 +24,8 @@ def connected(links: DataFrame) -> DataFrame:
         moved = large.join(least, "u")
         small = moved.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "stars")
-        now = _signature(edges)
-        if now == before or now[0] == 0:
+        # done when every node hangs on one root, and no root hangs on another node
+        ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(True).alias("hangs")), F.struct(F.col("v").alias("node"), F.lit(False).alias("hangs")))).alias("e"))
+        nodes = ends.select("e.*").groupBy("node").agg(F.count_if("hangs").alias("up"), F.count_if(~F.col("hangs")).alias("down"))
+        if nodes.filter("up > 1 OR (up > 0 AND down > 0)").isEmpty():
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = now

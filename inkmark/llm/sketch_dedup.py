@@ -5,9 +5,10 @@
    beyond (the bottom-k sketch). Inverted lists of the retained values generate overlaps. Two classes that reach the
    similarity share so many retained values that their rarest ones must meet (prefix filter over the retained values,
    ordered by frequency): only those are listed, and values held by one class never.
-3. A list is not expanded into pairs. Its smallest members meet the other members first, links join components, and
-   what is in one component is not compared again; then the next, more of them at a time, until every list is done.
-   Each pair in different components that could reach the similarity is thus examined.
+3. A list is not expanded into pairs. The member that shares most of its values meets the others first, links join
+   components, and what is in one component is not compared again; then the next members, more at a time, until every
+   list is done. Each pair in different components that could reach the similarity is thus examined, in the list of
+   the first value that both have, and where that value stands in both bounds what they can share.
 4. The union sketch of a pair estimates the similarity; pairs that are clearly below are left out, all others are
    verified on their full sets.
 
@@ -21,7 +22,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkmark.llm.arrow import Block, blocks, map_batches, stored, table
@@ -33,8 +34,8 @@ PERCENT = 85
 K = 128
 WHOLE = 256
 SIGMAS = 5.0
-# Members of a list that meet the others in a round: this many times more in each round.
-GROWTH = 16
+# Members of a list that have met the others after a round: this many times more in each round.
+GROWTH = 32
 
 
 def _sets(block: Block) -> list[np.ndarray]:
@@ -52,7 +53,8 @@ def _sets(block: Block) -> list[np.ndarray]:
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
     offsets = np.concatenate(([0], np.cumsum([len(a) for a in arrays]))).astype(np.int32)
-    values = np.concatenate([np.zeros(0, dtype=U), *arrays]).view(np.int64)
+    # with the highest bit flipped, signed order is the order of the hashes
+    values = (np.concatenate([np.zeros(0, dtype=U), *arrays]) ^ U(1 << 63)).view(np.int64)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
 
@@ -87,10 +89,12 @@ _LEAST_SKETCH = int(np.floor(K * PERCENT / 100 - SIGMAS * np.sqrt(K * PERCENT /
 
 
 def _postings(classes: DataFrame) -> DataFrame:
-    """(value, node, n, live, sketched, first): the listed values. ``live`` counts those that any other class retains too.
+    """(value, node, n, sketched, size, place, head, turn): the lists.
 
-    Classes of up to WHOLE shingles are compared by whole sets; those that may meet a larger one (or are larger) by
-    sketches, under other values, so the two kinds never mix.
+    ``place`` is where the value stands among the ``size`` values of the class by rising frequency, ``head`` are the
+    class's listed values in that order, ``turn`` is the order in which the members of a list meet the others. Classes of
+    up to WHOLE shingles are compared by whole sets; those that may meet a larger one (or are larger) by sketches, under
+    other values, so the two kinds never mix.
     """
     n = F.col("n")
     whole = classes.filter(n <= WHOLE).select("node", "n", F.lit(False).alias("sketched"), F.explode("sketch").alias("value"))
@@ -99,59 +103,55 @@ def _postings(classes: DataFrame) -> DataFrame:
     )
     values = whole.unionByName(sketched.withColumn("value", F.xxhash64("value")))
     shared = values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    held = values.join(shared, "value")
-    by_node = "PARTITION BY node, sketched"  # at most WHOLE rows
-    ranked = held.selectExpr(
-        "*", f"count(1) OVER ({by_node}) AS live", f"row_number() OVER ({by_node} ORDER BY df, value) AS rank"
-    )
     size = F.when(F.col("sketched"), F.lit(K)).otherwise(n)
-    place = size - F.col("live") + F.col("rank")  # values that no one shares come first
-    probe = F.when(F.col("sketched"), F.lit(K - _LEAST_SKETCH + 1)).otherwise(n - F.ceil(n * PERCENT / 100 - 1e-9) + 1)
-    index = F.when(F.col("sketched"), F.lit(K - _LEAST_SKETCH + 1)).otherwise(n - _overlap_needed(n, n) + 1)
-    return ranked.filter(place <= probe).select("value", "node", "n", "live", "sketched", (place <= index).alias("first"))
-
-
-def _could_link(a: str, b: str) -> Column:
-    """The pair's sizes and shared values allow the similarity, and b comes after a."""
-    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    live = F.least(F.col(f"{a}.live"), F.col(f"{b}.live"))
+    listed = F.when(F.col("sketched"), F.lit(K - _LEAST_SKETCH + 1)).otherwise(n - F.ceil(n * PERCENT / 100 - 1e-9) + 1)
+    # at most WHOLE values per class; values that no one shares come first in its order and are not listed
+    own = values.join(shared, "value").groupBy("node", "n", "sketched").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("own"))
+    own = own.withColumn("size", size).withColumn("alone", F.col("size") - F.size("own"))
+    own = own.withColumn("head", F.slice(F.col("own.value"), F.lit(1), F.greatest(F.lit(0), listed - F.col("alone")).cast("int")))
+    rows = own.select("node", "n", "sketched", "size", "alone", "head", F.posexplode("head").alias("at", "value"))
+    rows = rows.withColumn("place", F.col("alone") + F.col("at") + 1)
+    # the window ranks narrow rows of one list; Spark spills it if need be
+    turn = F.row_number().over(Window.partitionBy("value").orderBy("alone", "n", "node"))
+    return rows.select("value", "node", "n", "sketched", "size", "place", "head", turn.alias("turn"))
+
+
+def _could_link() -> Column:
+    """Pair condition on the rows a and b of one list, cheap tests first."""
+    n, m = F.col("a.n"), F.col("b.n")
+    need = F.when(F.col("a.sketched"), _sketch_overlap_needed(n, m)).otherwise(_overlap_needed(n, m))
+    left = F.least(F.col("a.size") - F.col("a.place"), F.col("b.size") - F.col("b.place")) + 1
     return (
-        ((n < m) | ((n == m) & (F.col(f"{a}.node") < F.col(f"{b}.node"))))
-        & (n * 100 >= m * PERCENT)
-        & F.when(F.col(f"{a}.sketched"), (m > WHOLE) & (live >= _sketch_overlap_needed(n, m))).otherwise(live >= _overlap_needed(n, m))
+        (F.col("a.value") == F.col("b.value"))
+        & (F.col("a.component") != F.col("b.component"))
+        & (F.col("a.turn") < F.col("b.turn"))
+        & (F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT)
+        & (~F.col("a.sketched") | (F.greatest(n, m) > WHOLE))
+        & (left >= need)
+        & (F.get(F.array_intersect("a.head", "b.head"), F.lit(0)) == F.col("a.value"))
     )
 
 
-def _pair_values(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b and their values; a class has one row in ``sets``, so a much used one can be split."""
-    left = sets.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("values").alias("values_a"))
-    right = sets.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("values").alias("values_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "values_a", "values_b")
+def _with_values(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, their sizes and values; a class has one row in ``sets``, so a much used one can be split."""
+    for side in ("a", "b"):
+        own = sets.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("values").alias(f"values_{side}"))
+        pairs = pairs.join(own, side)
+    return pairs
 
 
-def _judged(pairs: DataFrame, estimate: bool) -> DataFrame:
-    """Pairs whose union sketch allows the similarity, or (``estimate`` False) whose full sets have it."""
+def _similar() -> Column:
+    """The values are whole sets, and these reach the similarity."""
+    both = F.size(F.array_intersect("values_a", "values_b"))
+    return both * 100 >= (F.col("n_a") + F.col("n_b") - both) * PERCENT
 
-    def judge(batch):
-        a, b = batch.column(4), batch.column(5)
-        left, right = (c.flatten().to_numpy().view(U) for c in (a, b))
-        ends_a, ends_b = (np.concatenate(([0], np.cumsum(c.value_lengths().to_numpy()))) for c in (a, b))
-        keep = []
-        for i in range(batch.num_rows):
-            x, y = left[ends_a[i] : ends_a[i + 1]], right[ends_b[i] : ends_b[i + 1]]
-            both = np.intersect1d(x, y, assume_unique=True)
-            if not estimate:
-                keep.append(100 * len(both) >= PERCENT * (len(x) + len(y) - len(both)))
-                continue
-            # the K smallest values of the union are a random sample of it
-            bottom = np.union1d(x, y)[:K]
-            share = len(np.intersect1d(bottom, both, assume_unique=True)) / max(len(bottom), 1)
-            slack = SIGMAS * np.sqrt(PERCENT / 100 * (1 - PERCENT / 100) / max(len(bottom), 1))
-            keep.append(share >= PERCENT / 100 - slack)
-        keep = pa.array(keep, type=pa.bool_())
-        return {"a": batch.column(0).filter(keep), "b": batch.column(1).filter(keep)}
 
-    return map_batches(pairs, judge, "a bigint, b bigint")
+def _likely() -> Column:
+    """The K smallest values of the union, a random sample of it, do not rule the similarity out."""
+    bottom = F.slice(F.array_sort(F.array_union("values_a", "values_b")), 1, K)
+    share = F.size(F.array_intersect(F.array_intersect(bottom, F.col("values_a")), F.col("values_b"))) / F.size(bottom)
+    slack = SIGMAS * F.sqrt(F.lit(PERCENT / 100 * (1 - PERCENT / 100)) / F.size(bottom))
+    return share >= F.lit(PERCENT / 100) - slack
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -172,32 +172,32 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sets = stored(_full_sets(nodes, df, id_col, text_col), "sets")
     components = stored(nodes.select("node", F.col("node").alias("component")), "components")
 
-    centers = 1
+    done, now = 0, 1
     while True:
-        placed = lists.join(components, "node")
-        open_lists = placed.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        placed = stored(placed.join(open_lists.filter("low < high").select("value"), "value", "left_semi"), "open")
-        ranked = placed.filter("first").selectExpr("*", "row_number() OVER (PARTITION BY value ORDER BY n, node) AS turn")
-        chosen = ranked.filter(F.col("turn") <= centers).drop("turn")
-        if chosen.isEmpty():
+        placed = lists.filter(F.col("turn") > done).join(components, "node")
+        mixed = placed.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+        lists = stored(placed.join(mixed.select("value"), "value", "left_semi"), "open")
+        if lists.isEmpty():
             break
-        pairs = chosen.alias("a").join(
-            placed.alias("b"),
-            (F.col("a.value") == F.col("b.value")) & (F.col("a.component") != F.col("b.component")) & _could_link("a", "b"),
-        )
-        pairs = pairs.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
-        bottom = sets.select("node", "n", F.slice("values", 1, K).alias("values"))
-        likely = stored(_judged(_pair_values(pairs, bottom), estimate=True), "likely")
-        links = stored(_judged(_pair_values(likely, sets), estimate=False), "links")
+        chosen = lists.filter(F.col("turn") <= now)
+        pairs = chosen.alias("a").join(lists.alias("b"), _could_link()).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+        # sets of up to WHOLE shingles are complete here, so their pairs need no second look
+        retained = sets.select("node", "n", F.when(F.col("n") <= WHOLE, F.col("values")).otherwise(F.slice("values", 1, K)).alias("values"))
+        complete = F.greatest("n_a", "n_b") <= WHOLE
+        judged = _with_values(pairs, retained).filter(F.when(complete, _similar()).otherwise(_likely()))
+        likely = stored(judged.select("a", "b", complete.alias("complete")), "likely")
+        links = likely.filter("complete").select("a", "b")
+        large = likely.filter("NOT complete").select("a", "b")
+        if not large.isEmpty():
+            links = links.unionByName(_with_values(large, sets).filter(_similar()).select("a", "b"))
+        links = stored(links, "links")
         if not links.isEmpty():
-            of = lambda side: components.select(F.col("node").alias(side), F.col("component").alias("u" if side == "a" else "v"))
-            roots = connected(links.join(of("a"), "a").join(of("b"), "b").select("u", "v"))
+            of = lambda side, name: components.select(F.col("node").alias(side), F.col("component").alias(name))
+            roots = connected(links.join(of("a", "u"), "a").join(of("b", "v"), "b").select("u", "v"))
             renamed = components.join(roots.withColumnRenamed("node", "component"), "component", "left")
             components = stored(renamed.select("node", F.coalesce("root", "component").alias("component")), "components")
-        # a center has now met all members after it, and those before it were centers before
-        done = chosen.select("value", "node")
-        lists = placed.drop("component").join(done, ["value", "node"], "left_anti")
-        centers *= GROWTH
+        lists = lists.drop("component")
+        done, now = now, now * GROWTH
 
     first = components.join(nodes.select("node", "first_doc"), "node").withColumn("least", F.col("first_doc"))
     least = first.groupBy("component").agg(F.min("least").alias("least"))
