@@ -36,6 +36,8 @@ WHOLE = 256
 SIGMAS = 5.0
 # Members of a list that have met the others after a round: this many times more in each round.
 GROWTH = 32
+# Bound of the table of id residues that keeps texts without candidates out of the shuffle.
+RESIDUES = 1 << 20
 
 
 def _sets(block: Block) -> list[np.ndarray]:
@@ -215,6 +217,10 @@ def _full_sets(nodes: DataFrame, df: DataFrame, id_col: str, text_col: str) -> D
     """(node, n, values): the whole set of every listed class, in rising order, from one of its texts."""
     texts = df.select(F.col(id_col).cast("long").alias("first_doc"), F.col(text_col).alias("text"))
     wanted = nodes.select("node", "key", F.col("first_doc").alias("wanted"))
+    # most texts are not wanted and stay out of the shuffle; this table has at most RESIDUES rows, whatever the input
+    residue = lambda c: F.pmod(F.xxhash64(c), F.lit(RESIDUES)).alias("residue")
+    residues = wanted.select(residue("wanted")).distinct()
+    texts = texts.withColumn("residue", residue("first_doc")).join(F.broadcast(residues), "residue", "left_semi")
     rows = texts.join(wanted, F.col("first_doc").eqNullSafe(F.col("wanted"))).select("node", "key", "text")
 
     def measure(batch):
