@@ -239,3 +239,16 @@ def _full_sets(nodes: DataFrame, df: DataFrame, id_col: str, text_col: str) -> D
 def op6_near_duplicates(spark, sf_dir):
     """Components of near-duplicates of all whole documents."""
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP6_SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS g FROM w),
+n AS (SELECT w.doc_id, count(g) AS n FROM w LEFT JOIN s ON s.doc_id = w.doc_id GROUP BY w.doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+near AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM n UNION SELECT reach.doc_id, near.b FROM reach JOIN near ON near.a = reach.other)
+SELECT n.doc_id, n.n AS n_shingles, min(other) AS component_id, min(other) = n.doc_id AS kept FROM n JOIN reach ON reach.doc_id = n.doc_id
+GROUP BY n.doc_id, n.n"""

@@ -218,3 +218,14 @@ def op2_warc(spark, sf_dir):
     path = scratch_path(spark, "warc")
     write_warc(table(spark, sf_dir, "pages"), path)
     return read_warc(spark, path, keep_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+# Five hexadecimal digits are four characters of base32.
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+OP2_SQL = f"""WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (SELECT *, array_to_string(list_transform(range(32), lambda i:
+  '{_BASE32}'[1 + ((CAST('0x' || h[(i // 4) * 5 + 1:(i // 4) * 5 + 5] AS BIGINT) >> (15 - 5 * (i % 4))) & 31)]), '') AS digest,
+  max(page_id) OVER (PARTITION BY h) AS largest FROM p)
+SELECT page_id, octet_length(encode(html)) AS payload_bytes, digest AS payload_digest,
+  CASE WHEN page_id IS NOT DISTINCT FROM largest THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM largest THEN largest END AS refers_to FROM d"""
