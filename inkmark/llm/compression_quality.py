@@ -94,7 +94,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DO
         parts = [(q, c) for q, t, use in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), batch.column(2).to_pylist()) if use for c in chunks(t)]
         return {"quality": [q for q, _ in parts], "chunk": [c for _, c in parts]}
 
-    pool = map_batches(rows, cut, "quality int, chunk binary")
+    # copies of a chunk count once, so a much copied text cannot fill a class
+    pool = map_batches(rows, cut, "quality int, chunk binary").distinct()
     texts = {}
     for quality in (0, 1):
         own = pool.filter(F.col("quality") == quality).orderBy(F.xxhash64("chunk"), "chunk").limit(sample_chunks)
