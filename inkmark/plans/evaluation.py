@@ -147,7 +147,7 @@ def _logit(intercept, weights):
     return F.lit(float(intercept)) + sum(F.lit(float(w)) * F.col(c) for c, w in weights.items())
 
 
-def _logit_sql(intercept, weights):
+def logit_sql(intercept, weights):
     return f"(CAST({intercept} AS DOUBLE)" + "".join(f" + CAST({w} AS DOUBLE) * {c}" for c, w in weights.items()) + ")"
 
 
@@ -190,7 +190,7 @@ SCORED = (
 probs AS ("""
     + " UNION ALL ".join(
         f"""SELECT doc_id, label, domain, attack, dataset_name AS test_dataset, '{m}' AS detector, '{t}' AS train_dataset,
-  round(1.0 / (1.0 + exp(-{_logit_sql(b, w)})), 2) AS score FROM v2"""
+  round(1.0 / (1.0 + exp(-{logit_sql(b, w)})), 2) AS score FROM v2"""
         for m, t, b, w in SCORERS
     )
     + """), scored AS (SELECT *, CASE WHEN score >= 0.5 THEN 1 ELSE 0 END AS prediction FROM probs)"""
@@ -200,7 +200,7 @@ BY = ["detector", "train_dataset", "test_dataset"]
 _BY = ", ".join(BY)
 
 
-def _counts_sql(source, by, having=""):
+def counts_sql(source, by, having=""):
     return f"""
 k AS (SELECT {by}, count(*) AS n, count(*) FILTER (label = 1 AND prediction = 1) AS tp, count(*) FILTER (label = 0 AND prediction = 1) AS fp,
   count(*) FILTER (label = 1 AND prediction = 0) AS fn, count(*) FILTER (label = 0 AND prediction = 0) AS tn FROM {source} GROUP BY {by} {having})"""
@@ -212,12 +212,12 @@ def _safe(a, b):
 
 _P1, _R1, _P0, _R0 = _safe("tp", "(tp + fp)"), _safe("tp", "(tp + fn)"), _safe("tn", "(tn + fn)"), _safe("tn", "(tn + fp)")
 _F1, _F0 = _safe("2 * tp", "(2 * tp + fp + fn)"), _safe("2 * tn", "(2 * tn + fp + fn)")
-_BINARY_SQL = f"""round({_safe('tp + tn', 'n')}, 6) AS accuracy, round({_P1}, 6) AS precision, round({_R1}, 6) AS recall, round({_F1}, 6) AS f1"""
+BINARY_SQL = f"""round({_safe('tp + tn', 'n')}, 6) AS accuracy, round({_P1}, 6) AS precision, round({_R1}, 6) AS recall, round({_F1}, 6) AS f1"""
 _MACRO3_SQL = f"""round(({_P1} + {_P0}) / 2, 6) AS macro_precision, round(({_R1} + {_R0}) / 2, 6) AS macro_recall, round(({_F1} + {_F0}) / 2, 6) AS macro_f1"""
 _MACRO_SQL = f"{_MACRO3_SQL}, round(CASE WHEN tp + fn = 0 THEN {_R0} WHEN tn + fp = 0 THEN {_R1} ELSE ({_R1} + {_R0}) / 2 END, 6) AS balanced_accuracy"
 
 
-def _auc_sql(source, by):
+def auc_sql(source, by):
     """CTE ``auc``: mid-rank formula, an independent route to the tie-aware area."""
     return f"""
 mid AS (SELECT {by}, label, rank() OVER (PARTITION BY {by} ORDER BY score)
@@ -227,12 +227,12 @@ auc AS (SELECT {by}, CASE WHEN count(*) FILTER (label = 1) > 0 AND count(*) FILT
   / (CAST(count(*) FILTER (label = 1) AS DOUBLE) * count(*) FILTER (label = 0)), 6) END AS roc_auc FROM mid GROUP BY {by})"""
 
 
-def _using(by, left="k", right="auc"):
+def using(by, left="k", right="auc"):
     return " AND ".join(f"{left}.{c.strip()} IS NOT DISTINCT FROM {right}.{c.strip()}" for c in by.split(","))
 
 
-RESULTS = f"""{SCORED}, {_counts_sql('scored', _BY)}, {_auc_sql('scored', _BY)},
-results AS (SELECT k.detector AS model, k.train_dataset, k.test_dataset, k.n, {_BINARY_SQL}, roc_auc FROM k JOIN auc ON {_using(_BY)})"""
+RESULTS = f"""{SCORED}, {counts_sql('scored', _BY)}, {auc_sql('scored', _BY)},
+results AS (SELECT k.detector AS model, k.train_dataset, k.test_dataset, k.n, {BINARY_SQL}, roc_auc FROM k JOIN auc ON {using(_BY)})"""
 
 
 def results(spark, sf_dir):
@@ -247,17 +247,17 @@ def score_linear(spark, sf_dir):
     )
 
 
-@query("metrics_binary", f"{SCORED}, {_counts_sql('scored', _BY)} SELECT {_BY}, n, {_BINARY_SQL} FROM k")
+@query("metrics_binary", f"{SCORED}, {counts_sql('scored', _BY)} SELECT {_BY}, n, {BINARY_SQL} FROM k")
 def metrics_binary(spark, sf_dir):
     return metrics.binary_metrics(score_both(spark, sf_dir), BY)
 
 
-@query("metrics_macro", f"{SCORED}, {_counts_sql('scored', _BY)} SELECT {_BY}, n, {_MACRO_SQL} FROM k")
+@query("metrics_macro", f"{SCORED}, {counts_sql('scored', _BY)} SELECT {_BY}, n, {_MACRO_SQL} FROM k")
 def metrics_macro(spark, sf_dir):
     return metrics.macro_metrics(score_both(spark, sf_dir), BY)
 
 
-@query("metrics_auc", f"{SCORED}, {_auc_sql('scored', _BY + ', domain')} SELECT {_BY}, domain, roc_auc FROM auc")
+@query("metrics_auc", f"{SCORED}, {auc_sql('scored', _BY + ', domain')} SELECT {_BY}, domain, roc_auc FROM auc")
 def metrics_auc(spark, sf_dir):
     return metrics.roc_auc(score_both(spark, sf_dir), [*BY, "domain"])
 
@@ -267,8 +267,8 @@ _HOLED_SCORED = "holed AS (SELECT * REPLACE (CASE WHEN doc_id % 4 > 0 THEN domai
 
 @query(
     "metrics_auc_nulls",
-    f"""{SCORED}, {_HOLED_SCORED}, {_counts_sql('holed', _BY + ', domain')}, {_auc_sql('holed', _BY + ', domain')}
-SELECT {', '.join('k.' + c for c in BY)}, k.domain, n, {_BINARY_SQL}, roc_auc FROM k JOIN auc ON {_using(_BY + ', domain')}""",
+    f"""{SCORED}, {_HOLED_SCORED}, {counts_sql('holed', _BY + ', domain')}, {auc_sql('holed', _BY + ', domain')}
+SELECT {', '.join('k.' + c for c in BY)}, k.domain, n, {BINARY_SQL}, roc_auc FROM k JOIN auc ON {using(_BY + ', domain')}""",
 )
 def metrics_auc_nulls(spark, sf_dir):
     """Rows without a domain are a group like any other."""
@@ -278,7 +278,7 @@ def metrics_auc_nulls(spark, sf_dir):
 
 @query(
     "confusion_matrix",
-    f"""{SCORED}, {_counts_sql('scored', _BY)}
+    f"""{SCORED}, {counts_sql('scored', _BY)}
 SELECT {_BY}, true_label, predicted_label, CASE true_label * 2 + predicted_label WHEN 0 THEN tn WHEN 1 THEN fp WHEN 2 THEN fn ELSE tp END AS n
 FROM k CROSS JOIN (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) c(true_label, predicted_label)""",
 )
@@ -303,8 +303,8 @@ _SLICE = "detector, slice_column, slice_value"
     f"""{SCORED}, sliced AS (
   SELECT detector, label, prediction, score, 'domain' AS slice_column, domain AS slice_value FROM scored WHERE train_dataset = test_dataset
   UNION ALL SELECT detector, label, prediction, score, 'attack', attack FROM scored WHERE train_dataset = test_dataset AND attack IS NOT NULL),
-{_counts_sql('sliced', _SLICE, 'HAVING count(*) >= 20 AND count(DISTINCT label) = 2')}, {_auc_sql('sliced', _SLICE)}
-SELECT k.detector, k.slice_column, k.slice_value, k.n, {_BINARY_SQL}, {_MACRO3_SQL}, roc_auc FROM k JOIN auc ON {_using(_SLICE)}""",
+{counts_sql('sliced', _SLICE, 'HAVING count(*) >= 20 AND count(DISTINCT label) = 2')}, {auc_sql('sliced', _SLICE)}
+SELECT k.detector, k.slice_column, k.slice_value, k.n, {BINARY_SQL}, {_MACRO3_SQL}, roc_auc FROM k JOIN auc ON {using(_SLICE)}""",
 )
 def metrics_slices(spark, sf_dir):
     scored = score_both(spark, sf_dir).filter(F.col("train_dataset") == F.col("test_dataset"))
@@ -399,12 +399,12 @@ _DIST = """string_agg(label || '=' || share, '; ' ORDER BY label) FROM (SELECT l
   UNION ALL SELECT 'three_way', doc_id, label, split FROM ({SPLIT_ORACLES['split_three_way']})),
 held AS (SELECT s.*, a.split_name FROM scored s JOIN assigned a ON a.doc_id = s.doc_id AND a.split = 'test'
          WHERE s.test_dataset = 'docs' AND s.train_dataset = 'docs'),
-{_counts_sql('held', 'split_name, detector')}, {_auc_sql('held', 'split_name, detector')},
+{counts_sql('held', 'split_name, detector')}, {auc_sql('held', 'split_name, detector')},
 dist AS (SELECT split_name, split, string_agg(label || '=' || share, '; ' ORDER BY label) AS d FROM (
   SELECT split_name, split, label, printf('%.3f', round(CAST(count(*) AS DOUBLE) / sum(count(*)) OVER (PARTITION BY split_name, split), 3)) AS share
   FROM assigned GROUP BY split_name, split, label) GROUP BY split_name, split),
 sides AS (SELECT split_name, count(*) FILTER (split = 'train') AS train_size, count(*) FILTER (split = 'test') AS test_size FROM assigned GROUP BY 1)
-SELECT k.split_name, k.detector, {_BINARY_SQL}, roc_auc, train_size, test_size, tr.d AS train_label_distribution, te.d AS test_label_distribution
+SELECT k.split_name, k.detector, {BINARY_SQL}, roc_auc, train_size, test_size, tr.d AS train_label_distribution, te.d AS test_label_distribution
 FROM k JOIN auc ON k.split_name = auc.split_name AND k.detector = auc.detector JOIN sides ON sides.split_name = k.split_name
 JOIN dist tr ON tr.split_name = k.split_name AND tr.split = 'train' JOIN dist te ON te.split_name = k.split_name AND te.split = 'test'""",
 )
@@ -422,22 +422,3 @@ def experiment_rows(spark, sf_dir):
     scored = apply_scorers(features, [s for s in SCORERS if s[1] == "docs"])
     test = scored.join(assigned.filter(F.col("split") == "test"), "doc_id")
     return metrics.experiment_rows(test, assigned, ["split_name", "detector"])
-
-
-@query(
-    "detector_report",
-    f"""{o.with_(o.CONV)}, t AS (SELECT * REPLACE ({o.squash('text')} AS text) FROM conv),
-uniq AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rn FROM t WHERE length(text) > 0) WHERE rn = 1),
-{v2_sql('uniq', 'doc_id, label, domain')},
-one AS (SELECT doc_id, label, domain, round(1.0 / (1.0 + exp(-{_logit_sql(*SCORERS[1][2:])})), 2) AS score FROM v2),
-scored AS (SELECT *, CASE WHEN score >= 0.5 THEN 1 ELSE 0 END AS prediction FROM one),
-sliced AS (SELECT 'all' AS slice_column, 'all' AS slice_value, label, prediction, score FROM scored
-  UNION ALL SELECT 'domain', domain, label, prediction, score FROM scored),
-{_counts_sql('sliced', 'slice_column, slice_value', 'HAVING count(*) >= 20')}, {_auc_sql('sliced', 'slice_column, slice_value')}
-SELECT k.slice_column, k.slice_value, k.n, {_BINARY_SQL}, roc_auc FROM k JOIN auc ON {_using('slice_column, slice_value')}""",
-)
-def detector_report(spark, sf_dir):
-    """Scan, clean, deduplicate, featurise, score and evaluate conversations, overall and per slice."""
-    from inkmark.plans.flagship import detector_report as flagship
-
-    return flagship(spark, sf_dir)

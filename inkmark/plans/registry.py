@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from inkmark.plans import cleaning, evaluation, features, sources, splitting, streams, training
+from inkmark.plans import cleaning, evaluation, features, flagship, sources, splitting, streams, training
 
-MODULES = (sources, cleaning, splitting, features, evaluation, training, streams)
+MODULES = (sources, cleaning, splitting, features, evaluation, flagship, training, streams)
 
 
 def all_queries() -> dict:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from inkmark.functions import stylometry
 from inkmark.plans import oracle as o
-from inkmark.plans.evaluation import SCORERS, _logit_sql, apply_scorers
+from inkmark.plans.evaluation import SCORERS, logit_sql, apply_scorers
 from inkmark.plans.features import v2_sql
 from inkmark.sources.bindings import table
 from inkmark.streaming import jobs
@@ -33,7 +33,7 @@ def _stream(spark, sf_dir, name):
     "stream_score",
     f"""WITH {v2_sql('documents')} SELECT doc_id, detector, score, CASE WHEN score >= 0.5 THEN 1 ELSE 0 END AS prediction FROM ("""
     + " UNION ALL ".join(
-        f"SELECT doc_id, '{m}' AS detector, round(1.0 / (1.0 + exp(-{_logit_sql(b, w)})), 2) AS score FROM v2"
+        f"SELECT doc_id, '{m}' AS detector, round(1.0 / (1.0 + exp(-{logit_sql(b, w)})), 2) AS score FROM v2"
         for m, t, b, w in SCORERS
         if t == "docs"
     )

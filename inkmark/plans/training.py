@@ -11,6 +11,8 @@ from inkmark.operators import lexical, metrics, reshape, splits
 from inkmark.functions.labels import challenge
 from inkmark.session import cut_lineage, scratch_path
 from inkmark.plans import oracle as o
+from inkmark.plans.splitting import ORACLES as SPLIT_ORACLES
+from inkmark.plans.splitting import QUERIES as SPLIT_QUERIES
 from inkmark.plans.splitting import stratified_quota_sql
 from inkmark.sources.bindings import conv_labeled, docs_labeled, emb_labeled, table
 
@@ -219,3 +221,63 @@ def fit_checks(spark, sf_dir):
         rows.append((recipe.name, sizes["train_size"], *tested, weights[0], weights[1], right > majority, apart < 1e-9))
     schema = "model string, train_size bigint, test_size bigint, test_positive bigint, weight_human double, weight_ai double, fits_training_rows boolean, same_after_reload boolean"
     return spark.createDataFrame(rows, schema)
+
+
+MATRIX_SPLITS = (
+    "split_stratified", "split_three_way", "split_source_grouped", "split_domain_holdout", "split_generator_holdout_disjoint",
+    "split_attack_holdout_disjoint",
+)
+
+
+def _assigned(spark, sf_dir):
+    """(split_name, doc_id, label, split) of all splits of the documents, one name per hold-out."""
+    parts = []
+    for name in MATRIX_SPLITS:
+        rows = SPLIT_QUERIES[name](spark, sf_dir)
+        label = F.concat_ws(":", F.lit(name), *([F.col("holdout")] if "holdout" in rows.columns else []))
+        parts.append(rows.select(label.alias("split_name"), "doc_id", "label", "split"))
+    return cut_lineage(reshape.union_all(parts))
+
+
+def _matrix(spark, sf_dir, recipes):
+    """Every recipe fitted on the train side of every split; scored test rows and the assignments. Texts join last."""
+    texts = table(spark, sf_dir, "documents", heavy=True).select("doc_id", "text")
+    assigned = _assigned(spark, sf_dir)
+    parts = []
+    for (name,) in assigned.select("split_name").distinct().orderBy("split_name").collect():
+        own = assigned.filter(F.col("split_name") == name)
+        sides = [own.filter(F.col("split") == side).select("doc_id", "label").join(texts, "doc_id") for side in ("train", "test")]
+        for recipe in recipes:
+            scored = t.train(recipe, sides[0]).score(sides[1], ["doc_id", "label"])
+            parts.append(scored.withColumns({"split_name": F.lit(name), "model": F.lit(recipe.name)}))
+    return cut_lineage(reshape.union_all(parts)), assigned
+
+
+@query("experiment_matrix")
+def experiment_matrix(spark, sf_dir):
+    """Model by split: sizes, label distributions and metrics of a stylometric and a word model on every split and hold-out."""
+    scored, assigned = _matrix(spark, sf_dir, (t.EARLIER[3], t.CURRENT[0]))
+    return metrics.experiment_rows(scored, assigned, ["split_name", "model"])
+
+
+def _matrix_sql():
+    parts = []
+    for name in MATRIX_SPLITS:
+        label = f"'{name}:' || holdout" if "holdout" in name else f"'{name}'"
+        parts.append(f"SELECT {label} AS split_name, label, split FROM ({SPLIT_ORACLES[name]})")
+    share = """(SELECT string_agg(label || '=' || share, '; ' ORDER BY label) FROM (SELECT label, printf('%.3f', round(CAST(count(*) AS DOUBLE) /
+  sum(count(*)) OVER (), 3)) AS share FROM assigned WHERE split_name = sides.split_name AND split = '{side}' GROUP BY label))"""
+    return f"""WITH assigned AS ({' UNION ALL '.join(parts)}),
+sides AS (SELECT split_name, count(*) FILTER (split = 'train') AS train_size, count(*) FILTER (split = 'test') AS test_size FROM assigned GROUP BY split_name)
+SELECT split_name, 'style_logistic' AS model, train_size, test_size, test_size AS n_scored, {share.format(side='train')} AS train_label_distribution,
+  {share.format(side='test')} AS test_label_distribution FROM sides"""
+
+
+@query("experiment_matrix_sizes", _matrix_sql())
+def experiment_matrix_sizes(spark, sf_dir):
+    """What SQL can check of the matrix: sizes, label distributions, and that each fitted model scored every test row."""
+    scored, assigned = _matrix(spark, sf_dir, (t.EARLIER[3],))
+    rows = metrics.experiment_rows(scored, assigned, ["split_name", "model"])
+    counted = scored.groupBy("split_name", "model").agg(F.count(F.lit(1)).alias("n_scored"))
+    columns = ["train_size", "test_size", "n_scored", "train_label_distribution", "test_label_distribution"]
+    return rows.join(counted, ["split_name", "model"]).select("split_name", "model", *columns)
