@@ -17,8 +17,8 @@ from inkmark.llm.arrow import Block, blocks, bounded_sample, crc_mod, map_batche
 from inkmark.llm.hashing import lowered
 
 # Bound of the sample, and sizes of the model.
-SAMPLE_DOCS = 3000
-BUCKETS = 1 << 15
+SAMPLE_DOCS = 2000
+BUCKETS = 1 << 15  # numbers of two bytes
 WIDTH = 16
 EPOCHS = 8
 RATE = 0.5
@@ -57,14 +57,18 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 def _profile(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets of a text and their shares."""
-    bucket, count = np.unique(grams(_padded(text)), return_counts=True)
-    return bucket, count / count.sum()
+    count = np.zeros(BUCKETS, dtype=np.int64)
+    data = _padded(text)
+    for low in range(0, len(data) - 3, PIECE):
+        count += np.bincount(grams(data[low : low + PIECE + 3]).ravel(), minlength=BUCKETS)
+    bucket = np.flatnonzero(count)
+    return bucket, count[bucket] / count.sum()
 
 
 def _train(profiles: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
     """Class scores per bucket and bias, by gradient descent over documents in random order."""
     rng = np.random.default_rng(SEED)
-    embed = rng.normal(0, 1 / WIDTH, (BUCKETS, WIDTH))
+    embed = rng.normal(0, 1 / WIDTH, (BUCKETS, WIDTH)).astype(np.float32)
     weights, bias = np.zeros((WIDTH, classes)), np.zeros(classes)
     total = EPOCHS * len(profiles)
     for step, i in enumerate(np.concatenate([rng.permutation(len(profiles)) for _ in range(EPOCHS)])):
@@ -92,15 +96,17 @@ def fit_language(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> LanguageMod
 
     def profile(batch):
         pairs = [_profile(t) for b in blocks(batch.column(2)) for t in b.texts]
-        return {"doc_id": batch.column(0), "lang": batch.column(1), "bucket": [p[0] for p in pairs], "share": [p[1] for p in pairs]}
+        bucket = [p[0].astype("<u2").tobytes() for p in pairs]
+        return {"doc_id": batch.column(0), "lang": batch.column(1), "bucket": bucket, "share": [p[1].astype("<f4").tobytes() for p in pairs]}
 
-    sample = map_batches(rows.select("doc_id", "lang", "text"), profile, "doc_id bigint, lang string, bucket array<int>, share array<double>")
-    data = sorted((r.doc_id or 0, r.lang, r.bucket, r.share) for r in sample.collect())
+    # six bytes per distinct bucket of a text: at most 200 kB a row, some 20 kB on average
+    sample = map_batches(rows.select("doc_id", "lang", "text"), profile, "doc_id bigint, lang string, bucket binary, share binary")
+    data = sorted((r.doc_id or 0, r.lang, bytes(r.bucket), bytes(r.share)) for r in sample.toLocalIterator())
     if not data:
         return None
     languages = sorted({d[1] for d in data})
     target = np.array([languages.index(d[1]) for d in data])
-    profiles = [(np.array(d[2]), np.array(d[3])) for d in data]
+    profiles = [(np.frombuffer(d[2], dtype="<u2"), np.frombuffer(d[3], dtype="<f4")) for d in data]
     held = np.arange(len(data)) % 4 == 3
     scores, bias = _train([p for p, h in zip(profiles, held) if not h], target[~held], len(languages))
     model = LanguageModel(languages, scores, bias, 1.0, 0.0)
@@ -119,18 +125,17 @@ def fit_language(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> LanguageMod
 def chances(block: Block, model: LanguageModel) -> np.ndarray:
     """Probabilities per text of a block; long texts are summed in pieces."""
     out = np.zeros((len(block.texts), len(model.languages)))
-    data = np.concatenate(([np.uint8(32)], block.data, np.full(3, 32, dtype=np.uint8)))
-    starts, ends = block.starts, block.ends + 1  # every gram from the blank before a text to its last byte
     for i in np.flatnonzero(block.sizes > PIECE):
-        for low in range(int(starts[i]), int(ends[i]), PIECE):
-            out[i] += model.scores[grams(data[low : min(low + PIECE, int(ends[i])) + 3])].sum(axis=(0, 1), dtype=np.float64)
+        data = _padded(block.texts[i])
+        for low in range(0, len(data) - 3, PIECE):
+            out[i] += model.scores[grams(data[low : low + PIECE + 3])].sum(axis=(0, 1), dtype=np.float64)
     short = np.flatnonzero(block.sizes <= PIECE)
     for part in np.array_split(short, max(1, int(block.sizes[short].sum()) // PIECE)) if len(short) else []:
-        pieces = [data[starts[i] : ends[i] + 3] for i in part]
-        sizes = np.array([len(p) for p in pieces])
-        per_gram = model.scores[grams(np.concatenate(pieces))].sum(axis=1, dtype=np.float64)
+        joined = np.frombuffer(b"".join(b" " + block.texts[i] + b"   " for i in part), dtype=np.uint8)
+        per_gram = model.scores[grams(joined)].sum(axis=1, dtype=np.float64)
+        sizes = block.sizes[part] + 4
         first = np.cumsum(sizes) - sizes
-        # grams that cross into the next text are left out: sums run to three before its start
+        # every second sum is of the grams that cross into the next text, and is dropped
         bounds = np.stack([first, first + sizes - 3], axis=1).ravel()
         out[part] = np.add.reduceat(np.vstack([per_gram, np.zeros((4, per_gram.shape[1]))]), bounds, axis=0)[0::2]
     logits = out / (2 * (block.sizes + 1))[:, None] + model.bias
