@@ -1,9 +1,10 @@
 """Benchmark decontamination by templates, which also finds questions with changed numbers, names or units.
 
 Texts become tokens without punctuation in lower case; numbers, names (capitalised inside a sentence) and units after a
-number become typed placeholders. Windows of such tokens are joined by hash with the windows of the benchmark. Matches on
-one diagonal (document position minus item position) must fill the slots consistently: an item's value stands for one
-value in the document. A document is contaminated by an item if consistent diagonals cover enough of the item's windows.
+number become typed placeholders. Windows are joined by hash with the windows of the benchmark, both by their literal
+tokens, which know neither case nor punctuation, and by these templates. Template matches on one diagonal (document
+position minus item position) must fill the slots consistently: an item's value stands for one value in the document. A
+document is contaminated by an item if literal matches and consistent diagonals cover enough of the item's windows.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ UNITS = (
 ).split()
 
 _NUMBER, _NAME, _UNIT = (U(x) for x in (0x6E756D626572, 0x6E616D65, 0x756E6974))
+# Keeps template hashes apart from literal ones.
+_TEMPLATE = 1 << 32
 _KEPT = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 _BLANK = np.array([is_space(b) for b in range(256)])
 _CAPITAL = np.array([65 <= b <= 90 for b in range(256)])
@@ -93,50 +96,57 @@ class Tokens:
         self.slot = number | unit | name
         self.code = np.where(number, _NUMBER, np.where(unit, _UNIT, np.where(name, _NAME, self.literal)))
 
-    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hash of the window at each token, and whether it lies in one text and at least half of it is literal."""
+    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Literal and template hash of the window at each token, whether it lies in one text, and its number of slots."""
         n = len(self.code) - size + 1
         if n <= 0:
-            return np.zeros(0, dtype=U), np.zeros(0, dtype=bool)
+            return np.zeros(0, dtype=U), np.zeros(0, dtype=U), np.zeros(0, dtype=bool), np.zeros(0, dtype=np.int64)
         filled = np.concatenate(([0], np.cumsum(self.slot)))
         text = np.searchsorted(self.bounds, np.arange(len(self.code)), side="right")
-        usable = (text[:n] == text[size - 1 :]) & (2 * (filled[size:] - filled[:n]) <= size)
-        return combine(self.code, size) ^ U(size), usable
+        inside = text[:n] == text[size - 1 :]
+        return combine(self.literal, size) ^ U(size), combine(self.code, size) ^ U(size + _TEMPLATE), inside, filled[size:] - filled[:n]
 
 
 def _found(block: Block, sizes: tuple[int, ...], wanted: np.ndarray | None, whole: bool) -> list[tuple]:
-    """(text number, position, window, slot values) of the usable windows; ``whole`` keeps a size only for texts of it."""
+    """(text number, position, window, slot values, literal, half) of the windows; ``whole`` keeps a size only for texts of it.
+
+    Every window has a literal row, without slot values. One with slots, of which at least half is literal, has a template
+    row too. ``half`` says whether at least half of the window is literal.
+    """
     tokens = Tokens(block)
     lengths = np.diff(tokens.bounds)
     out = []
     for size in sizes:
-        windows, usable = tokens.windows(size)
-        if wanted is not None:
-            usable = usable.copy()
+        literal, template, inside, slots = tokens.windows(size)
+        half = 2 * slots <= size
+        for windows, usable, plain in ((literal, inside, True), (template, inside & half & (slots > 0), False)):
             at = np.flatnonzero(usable)
-            usable[at] = np.isin(windows[at], wanted)
-        for i in np.flatnonzero(usable).tolist():
-            text = int(np.searchsorted(tokens.bounds, i, side="right")) - 1
-            if whole and size != min(WINDOW, lengths[text]):
-                continue
-            values = [int(v) if s else None for v, s in zip(tokens.literal[i : i + size].view(np.int64), tokens.slot[i : i + size])]
-            out.append((text, i - int(tokens.bounds[text]), int(windows[i].view(np.int64)), values))
+            if wanted is not None:
+                at = at[np.isin(windows[at], wanted)]
+            for i in at.tolist():
+                text = int(np.searchsorted(tokens.bounds, i, side="right")) - 1
+                if whole and size != min(WINDOW, lengths[text]):
+                    continue
+                filled = tokens.slot[i : i + size] & (not plain)
+                values = [int(v) if s else None for v, s in zip(tokens.literal[i : i + size].view(np.int64), filled)]
+                out.append((text, i - int(tokens.bounds[text]), int(windows[i].view(np.int64)), values, plain, bool(half[i])))
     return out
 
 
 def _window_rows(df: DataFrame, id_col: str, text_col: str, name: str, sizes: tuple[int, ...], wanted, whole: bool) -> DataFrame:
     sent = None if wanted is None else df.sparkSession.sparkContext.broadcast(wanted)
+    fields = (name, "position", "window", "slots", "literal", "half")
 
     def find(batch):
         ids, rows = batch.column(0).to_pylist(), []
         for block in blocks(batch.column(1)):
             known = None if sent is None else sent.value
-            rows += [(ids[block.first + t], p, w, v) for t, p, w, v in _found(block, sizes, known, whole)]
-        columns = list(zip(*rows)) or [[], [], [], []]
-        return {name: columns[0], "position": columns[1], "window": columns[2], "slots": pa.array(columns[3], type=pa.list_(pa.int64()))}
+            rows += [(ids[block.first + t], *row) for t, *row in _found(block, sizes, known, whole)]
+        columns = dict(zip(fields, list(zip(*rows)) or [[]] * len(fields)))
+        return columns | {"slots": pa.array(columns["slots"], type=pa.list_(pa.int64()))}
 
     rows = df.select(F.col(id_col).cast("long"), text_col)
-    return map_batches(rows, find, f"{name} bigint, position bigint, window bigint, slots array<bigint>")
+    return map_batches(rows, find, f"{name} bigint, position bigint, window bigint, slots array<bigint>, literal boolean, half boolean")
 
 
 def contaminated(
@@ -146,7 +156,9 @@ def contaminated(
     """(doc_id, item_id, n_windows, n_hit, coverage, kind) for every document that holds enough of an item.
 
     ``kind`` is ``exact`` if all slots are filled alike and ``reparameterised`` otherwise. An item shorter than a window
-    is one window, below three tokens it is not searched for. Null or empty texts match nothing; rows that share an id
+    is one window, below three tokens it is not searched for. Literal copies are found whatever their case and punctuation,
+    and also where most of a window is slots. Changed numbers, names and units are found in windows that are at least half
+    literal, names only where capitals show them; an item is held by enough of all its windows, or of these. Null or empty texts match nothing; rows that share an id
     are one document, rows without id likewise; repeated items count each under their ids. Other columns are ignored.
     Only matching windows leave the tasks; a window common to many documents meets few rows of the benchmark.
     """
@@ -157,25 +169,31 @@ def contaminated(
     wanted = None if len(known) > SENT_WINDOWS else np.array(sorted(r.window for r in known), dtype=np.int64).view(U)
     used = tuple(sorted(r[0] for r in items.select(F.size("slots")).distinct().collect())) or (WINDOW,)
     hits = _window_rows(docs, id_col, text_col, "doc_id", used, wanted, whole=False)
-    theirs = items.select("window", "item_id", F.col("position").alias("item_position"), F.col("slots").alias("item"))
-    pairs = hits.withColumnRenamed("slots", "doc").join(theirs, "window").select(
-        "doc_id", "item_id", "item_position", (F.col("position") - F.col("item_position")).alias("diagonal"),
+    theirs = items.select("window", "item_id", F.col("position").alias("item_position"), F.col("slots").alias("item"), "half")
+    pairs = hits.select("doc_id", "position", "window", "literal", F.col("slots").alias("doc")).join(theirs, "window").select(
+        "doc_id", "item_id", "literal", F.struct(F.col("item_position").alias("at"), "half").alias("item_window"),
+        (F.col("position") - F.col("item_position")).alias("diagonal"),
         F.expr("filter(arrays_zip(item, doc), p -> p.item IS NOT NULL)").alias("filled"),
     )
     # distinct values are at most the item's tokens, so these sets are small
-    lines = pairs.groupBy("doc_id", "item_id", "diagonal").agg(
-        F.collect_set("item_position").alias("positions"),
+    lines = pairs.groupBy("doc_id", "item_id", "diagonal", "literal").agg(
+        F.collect_set("item_window").alias("hit"),
         F.array_distinct(F.flatten(F.collect_set("filled"))).alias("filled"),
     )
     values = F.size(F.array_distinct(F.expr("transform(filled, p -> p.item)")))
     lines = lines.filter((F.size("filled") == 0) | (values >= F.lit(consistent) * F.size("filled")))
     equal = F.expr("forall(filled, p -> p.item <=> p.doc)")
-    found = lines.groupBy("doc_id", "item_id").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("positions")))).cast("long").alias("n_hit"), F.min(equal).alias("equal")
-    )
-    windows = items.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_windows"))
+    found = lines.groupBy("doc_id", "item_id").agg(F.array_distinct(F.flatten(F.collect_list("hit"))).alias("hit"), F.min(equal).alias("equal"))
+    found = found.withColumn("all_hit", F.size("hit")).withColumn("half_hit", F.size(F.expr("filter(hit, h -> h.half)")))
+    windows = items.filter("literal").groupBy("item_id").agg(F.count(F.lit(1)).alias("n_all"), F.count_if("half").alias("n_half"))
+    # windows full of slots have no template: without them, an item counts as before; the larger of the two shares decides
+    larger = F.coalesce(F.col("all_hit") * F.col("n_half") >= F.col("half_hit") * F.col("n_all"), F.lit(True))
+    found = found.join(windows, "item_id").select(
+        "doc_id", "item_id", F.when(larger, F.col("n_all")).otherwise(F.col("n_half")).alias("n_windows"),
+        F.when(larger, F.col("all_hit")).otherwise(F.col("half_hit")).cast("long").alias("n_hit"), "equal",
+    )
     share = F.col("n_hit") / F.col("n_windows")
-    return found.join(windows, "item_id").filter(share >= coverage).select(
+    return found.filter(share >= coverage).select(
         "doc_id", "item_id", "n_windows", "n_hit", share.alias("coverage"), F.when(F.col("equal"), "exact").otherwise("reparameterised").alias("kind")
     )
 

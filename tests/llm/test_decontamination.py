@@ -52,3 +52,10 @@ def test_op10_equals_brute_force(spark):
     want = {(d, i) for d, text in docs for i, item in items if item in text}
     got = {(r.doc_id, r.item_id) for r in op10_decontamination(spark, sf_dir).collect()}
     assert want and got == want
+
+
+def test_literal_copies_of_items_full_of_slots(spark):
+    texts = ["Compute 12 34 56 78 90 11 22 33 44 now", "Every Word Of This Item Stands In Title Case So All Are Names"]
+    items = frame(spark, list(enumerate(texts)), "item_id")
+    docs = frame(spark, [(i, f"Some words before. {t}. Some words after.") for i, t in enumerate(texts)] + [(9, "Compute 1 2 3 4 5 6 7 8 9 now")], "doc_id")
+    assert found(contaminated(docs, items)) == {(0, 0): "exact", (1, 1): "exact"}
