@@ -59,10 +59,10 @@ def _titled(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray
 
 
 def _small_letters(block: Block) -> np.ndarray:
-    """The block's bytes in lower case; the few texts whose length would change keep their other than ASCII letters."""
+    """The block's bytes in lower case, sharp s as ss, its upper case; the few texts whose length would change keep their other than ASCII letters."""
 
     def lower(text: bytes) -> bytes:
-        small = text.decode("utf-8", "replace").lower().encode()
+        small = text.decode("utf-8", "replace").lower().replace("ß", "ss").encode()
         return small if len(small) == len(text) else text.lower()
 
     return np.frombuffer(b"\n".join(map(lower, block.texts)) + b"\n", dtype=np.uint8)

@@ -59,3 +59,20 @@ def test_literal_copies_of_items_full_of_slots(spark):
     items = frame(spark, list(enumerate(texts)), "item_id")
     docs = frame(spark, [(i, f"Some words before. {t}. Some words after.") for i, t in enumerate(texts)] + [(9, "Compute 1 2 3 4 5 6 7 8 9 now")], "doc_id")
     assert found(contaminated(docs, items)) == {(0, 0): "exact", (1, 1): "exact"}
+
+
+def test_copies_without_case_or_punctuation(spark):
+    text = "Maria buys six green apples in Boston. Later her friend Tom sells two of them. Nobody knows why. Still Anna keeps 3 kg at home. Who has most?"
+    items = frame(spark, [(1, text)], "item_id")
+    copies = [text.lower(), text.upper(), text.title(), re.sub(r"[^\w\s]", "", text), re.sub(r"[^\w\s]", "", text).title()]
+    docs = frame(spark, [(i, f"Words before this. {c} Words after it.") for i, c in enumerate(copies)], "doc_id")
+    got = contaminated(docs, items).collect()
+    assert {(r.doc_id, r.kind, r.n_hit, r.n_windows) for r in got} == {(i, "exact", 21, 21) for i in range(len(copies))}
+
+
+def test_copies_of_the_benchmark_without_case_or_punctuation(spark):
+    items = [(r.item_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").select("item_id", "text").collect()]
+    forms = (str.lower, str.upper, str.title, lambda t: re.sub(r"[!-/:-@\[-`{-~]", "", t))
+    rows = [(i * 10 + k, f"Words before this. {form(t)}") for i, t in items for k, form in enumerate(forms)]
+    got = found(contaminated(frame(spark, rows, "doc_id"), frame(spark, items, "item_id")))
+    assert {(i * 10 + k, i) for i, _ in items for k in range(len(forms))} <= set(got)
