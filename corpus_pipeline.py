@@ -10,7 +10,7 @@ from inkmark.llm.decontamination import contaminated
 from inkmark.llm.packing import pack_documents
 from inkmark.llm.pii import find_pii, fit_pii
 from inkmark.llm.quality_rules import apply_rules, fit_rules
-from inkmark.llm.sketch_dedup import near_duplicates
+from inkmark.llm.sketch_dedup import kept_sets, with_set_keys
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -22,16 +22,23 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component; of rows repeated under that id, one stays."""
-    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*COLUMNS)
-    return rows.dropDuplicates(["doc_id"])
+    """One row of each component: that of the smallest id, and a row without id only where all are; texts decide, not ids.
+
+    Rows that share an id, or have none, stay with every text that is no copy. Of rows with one id and one set of shingles the
+    smallest stays; a text without words is a copy only of such a text under its own id.
+    """
+    mark = lambda key: F.concat(key, F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    kept = kept_sets(docs).select(mark(F.col("key")).alias("mark"))
+    rows = with_set_keys(docs.select(*COLUMNS)).select(mark(F.col("set_key")).alias("mark"), F.struct(*COLUMNS).alias("row"))
+    rows = rows.groupBy("mark").agg(F.min("row").alias("row"))
+    return rows.join(kept, "mark", "left_semi").select("row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark item; rows without id cannot be told apart and stay."""
-    found = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*COLUMNS)
+    """Rows without a benchmark item; rows that share an id, or have none, are judged each by its own text."""
+    rows = docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
+    found = contaminated(rows, table(spark, sf_dir, "benchmark"), id_col="row_key").select(F.col("doc_id").alias("row_key")).distinct()
+    return rows.join(found, "row_key", "left_anti").select(*COLUMNS)
 
 
 def pii_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

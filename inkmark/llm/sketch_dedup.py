@@ -60,6 +60,23 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
 
+def set_key(values: np.ndarray) -> bytes:
+    """128 bits of a whole set."""
+    return hashlib.blake2b(values.tobytes(), digest_size=16).digest()
+
+
+def with_set_keys(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows with the ``set_key`` of their text."""
+
+    def measure(batch):
+        names = batch.schema.names
+        keys = [set_key(s) for b in blocks(batch.column(names.index(text_col))) for s in _sets(b)]
+        return {n: batch.column(i) for i, n in enumerate(names)} | {"set_key": keys}
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    return map_batches(df, measure, f"{schema}, set_key binary")
+
+
 def shingle_prints(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, key (128 bits of the whole set), n_shingles and the retained values of every text."""
 
@@ -67,7 +84,7 @@ def shingle_prints(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         sets = [s for b in blocks(batch.column(1)) for s in _sets(b)]
         return {
             "doc_id": batch.column(0),
-            "key": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets],
+            "key": [set_key(s) for s in sets],
             "n_shingles": [len(s) for s in sets],
             "sketch": _lists([s if len(s) <= WHOLE else s[:K] for s in sets]),
         }
@@ -164,6 +181,30 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows that share an id but not the set are linked as far as their sets are. A row without id belongs to the component of
     its set, whose id is the smallest that is not null. Other columns are ignored; an empty table gives an empty result.
     """
+    prints, classes = _placed(df, id_col, text_col)
+    least = classes.groupBy("component").agg(F.min("first_doc").alias("component_id"))
+    ids = classes.join(least, "component").select("key", "component_id")
+    rows = prints.select("doc_id", "key", "n_shingles").join(ids, "key", "left")
+    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
+    return rows.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
+        "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
+    )
+
+
+def kept_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(key, doc_id): of each component the set whose smallest id is the smallest, and that id; null only if all ids are.
+
+    Of sets with the same smallest id the one with the smallest key stands for the component. The empty set is linked with
+    nothing and comes once with every id that has it.
+    """
+    prints, classes = _placed(df, id_col, text_col)
+    first = F.min(F.struct(F.col("first_doc").isNull().alias("missing"), "first_doc", "key")).alias("first")
+    kept = classes.groupBy("component").agg(first).select("first.key", F.col("first.first_doc").alias("doc_id"))
+    return kept.unionByName(prints.filter("n_shingles = 0").select("key", "doc_id").distinct())
+
+
+def _placed(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The prints of the rows, and (key, first_doc, component) of their sets other than the empty one."""
     prints = stored(shingle_prints(df, id_col, text_col), "prints")
     classes = prints.filter("n_shingles > 0").groupBy("key").agg(
         F.min("doc_id").alias("first_doc"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")
@@ -201,16 +242,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         lists = lists.drop("component")
         done, now = now, now * GROWTH
 
-    first = components.join(nodes.select("node", "first_doc"), "node").withColumn("least", F.col("first_doc"))
-    least = first.groupBy("component").agg(F.min("least").alias("least"))
-    moved = components.join(least, "component").select("node", "least")
-    ids = classes.select("key", "node", "first_doc").join(moved, "node", "left")
-    ids = ids.select("key", F.coalesce("least", "first_doc").alias("component_id"))
-    rows = prints.select("doc_id", "key", "n_shingles").join(ids, "key", "left")
-    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return rows.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
-        "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
-    )
+    placed = classes.select("key", "node", "first_doc").join(components, "node", "left")
+    return prints, placed.select("key", "first_doc", F.coalesce("component", "node").alias("component"))
 
 
 def _full_sets(nodes: DataFrame, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -226,7 +259,7 @@ def _full_sets(nodes: DataFrame, df: DataFrame, id_col: str, text_col: str) -> D
     def measure(batch):
         sets = [s for b in blocks(batch.column(2)) for s in _sets(b)]
         keys = batch.column(1).to_pylist()
-        right = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() == k for s, k in zip(sets, keys)]
+        right = [set_key(s) == k for s, k in zip(sets, keys)]
         sets = [s for s, r in zip(sets, right) if r]
         node = batch.column(0).filter(pa.array(right, type=pa.bool_()))
         return {"node": node, "n": [len(s) for s in sets], "values": _lists(sets)}

@@ -51,3 +51,17 @@ def test_odd_rows_pass_every_stage(spark):
             assert out.columns == list(corpus_pipeline.COLUMNS) and out.count() <= docs.count()
         # long documents are cut, but every document has one first piece
         assert corpus_pipeline.STAGES[-1][1](spark, docs, SF_DIR).filter("piece = 0").count() == docs.count()
+
+
+def test_rows_that_share_an_id_or_have_none_are_judged_by_their_text(spark):
+    one, two, three, four = (" ".join(f"{w}{i}" for i in range(30)) for w in ("red", "blue", "green", "grey"))
+    item = spark.read.parquet(f"{SF_DIR}/benchmark.parquet").first().text
+    rows = [(None, one), (None, two), (None, two), (None, f"Hear this: {item}"), (1, three), (2, three), (2, four), (2, f"{four} more"), (None, three.upper()), (3, one)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "CAST(NULL AS string) AS lang", "'s' AS source", "1L AS n_chars")
+    single = corpus_pipeline.near_dedup(spark, docs, SF_DIR)
+    got = [(r.doc_id, r.text) for r in single.collect()]
+    # the last text and the one it extends are one component of one id: one of them stays, the same on every run
+    assert sum(t.startswith(four) for _, t in got) == 1
+    assert sorted((t, d) for d, t in got if not t.startswith(four)) == sorted([(one, 3), (two, None), (f"Hear this: {item}", None), (three, 1)])
+    clean = corpus_pipeline.decontamination(spark, single, SF_DIR)
+    assert {r.text for r in clean.collect()} == {t for _, t in got} - {f"Hear this: {item}"}
