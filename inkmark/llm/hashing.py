@@ -6,17 +6,18 @@ character, so byte-wise splitting equals splitting by code points.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
+import pyarrow as pa
 
 U = np.uint64
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, *range(9, 14)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-# The base is odd, so it has an inverse modulo 2**64.
+# An odd multiplier mixes the hashes of the parts of a window.
 _BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_POWERS: dict[str, np.ndarray] = {}
 SEGMENT = 4 << 20
 
 
@@ -31,28 +32,28 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, kept per worker and grown by doubling."""
-    have = _POWERS.get("up")
-    if have is None or len(have) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        for name, base in (("up", _BASE), ("down", _INVERSE)):
-            out = np.ones(size, dtype=U)
-            done = 1
-            while done < size:
-                step = min(done, size - done)
-                out[done : done + step] = out[:step] * U(pow(base, done, 1 << 64))
-                done += step
-            _POWERS[name] = out
-    return _POWERS["up"], _POWERS["down"]
-
+def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """The distinct byte strings among the spans ``data[start:end]``, and the number of its string for each span.
 
-def byte_table() -> np.ndarray:
-    """A fixed random 64-bit value per byte."""
-    return mix(np.arange(1, 257, dtype=U) * U(0xD1342543DE82EF95))
+    The spans are in order and do not overlap. Strings are told apart by their bytes, not by a hash.
+    """
+    if len(starts) == 0:
+        return np.zeros(0, dtype=np.int64), []
+    edges = np.zeros(len(data) + 1, dtype=np.int8)
+    filled = starts < ends
+    edges[starts[filled]] += 1
+    edges[ends[filled]] -= 1
+    compact = data[np.cumsum(edges[:-1], dtype=np.int8).view(bool)]
+    offsets = np.zeros(len(starts) + 1, dtype=np.int64)
+    np.cumsum(ends - starts, out=offsets[1:])
+    spans = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(compact)])
+    encoded = spans.dictionary_encode()
+    return encoded.indices.to_numpy(), encoded.dictionary.to_pylist()
 
 
-_TABLE = byte_table()
+def string_hashes(strings: list[bytes]) -> np.ndarray:
+    """64 bits of a cryptographic hash of each string, so structured strings collide no more than others."""
+    return np.frombuffer(b"".join(hashlib.blake2b(s, digest_size=8).digest() for s in strings), dtype=U)
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -70,12 +71,9 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 def _hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     if len(starts) == 0:
         return np.zeros(0, dtype=U)
-    base = int(starts[0])
-    part = data[base : int(ends[-1])]
-    up, down = _powers(len(part) + 1)
-    sums = np.zeros(len(part) + 1, dtype=U)
-    np.cumsum(_TABLE[part] * up[: len(part)], out=sums[1:])
-    return mix((sums[ends - base] - sums[starts - base]) * down[starts - base] + (ends - starts).astype(U))
+    base = starts[0]
+    numbers, strings = distinct_spans(data[base : ends[-1]], starts - base, ends - base)
+    return string_hashes(strings)[numbers]
 
 
 def lowered(data: np.ndarray) -> np.ndarray:
