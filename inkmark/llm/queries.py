@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from inkmark.llm.alignment import op12_alignment
 from inkmark.llm.compression_quality import op7_quality_score
 from inkmark.llm.decontamination import op10_decontamination
 from inkmark.llm.language import op9_language
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_language": op9_language,
     "op10_decontamination": op10_decontamination,
+    "op12_alignment": op12_alignment,
 }
 #: The other queries fit models or use a tokenizer's library; tests hold them against brute force.
 ORACLES = {
