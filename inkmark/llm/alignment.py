@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,9 +28,11 @@ from inkmark.llm.tokens import public_path
 
 A_VOCABULARY, B_VOCABULARY = "byte_bpe_50k.json", "piece_bpe_32k.model"
 # Bounds of a worker's memory of pieces; when it is full it starts anew.
-KNOWN_PIECES, KNOWN_BYTES = 400_000, 32 << 20
+KNOWN_PIECES, KNOWN_BYTES = 300_000, 32 << 20
 # Pieces encoded together, as one text.
 LINE_PIECES = 400
+# Links of a group up to which they are written out before they are counted.
+LARGE_GROUP = 1 << 12
 # Most frequent irregular pairs that are sent to every task.
 HEAVY_PAIRS = 1 << 17
 
@@ -65,6 +68,7 @@ class Aligner:
         parts = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         raw = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(parts)]
         self.b_bytes = raw
+        self.a_sizes, self.b_sizes = (np.array([len(t) for t in of], dtype=np.int64) for of in (self.a_bytes, self.b_bytes))
         # control pieces never stand for text; a byte piece only where no other has its bytes
         usable = [i for i in range(len(raw)) if not self.b.is_control(i) and not self.b.is_unknown(i)]
         same = {raw[i]: i for i in sorted(usable, key=lambda i: (not self.b.is_byte(i), -i))}
@@ -84,92 +88,96 @@ class Aligner:
     def _forget(self) -> None:
         self.slots: dict[bytes, int] = {}
         self.numbers: dict[int, int] = {}  # pair -> its number in ``pairs``
-        self.pairs: list[int] = []
+        self.pairs = np.zeros(0, dtype=np.int64)
         self.held = 0
-        self.valid, self.sizes, self.texts = [], [], []
-        self.pool, self.times, self.first = [], [], [0]
-
-    def _encode(self, line: list[bytes]) -> list[tuple[list[int], list[int]]] | None:
-        """A and B ids of each piece of a line, or None where the tokens do not end with the pieces or change their bytes."""
-        whole = b"".join(line)
-        text = whole.decode("utf-8", "replace")
-        ids_a = self.a.encode(text, add_special_tokens=False).ids
-        ids_b = self.b.encode(text[1:], num_threads=1)
-        out: list[list[list[int]]] = [[] for _ in line]
-        ends = np.cumsum([len(p) for p in line]).tolist()
-        for ids, of in ((ids_a, self.a_bytes), (ids_b, self.b_bytes)):
-            if b"".join([of[i] for i in ids]) != whole:
-                return None
-            at = piece = begin = 0
-            for n, i in enumerate(ids):
-                at += len(of[i])
-                if at >= ends[piece]:
-                    if at > ends[piece]:
-                        return None
-                    out[piece].append(ids[begin : n + 1])
-                    begin, piece = n + 1, piece + 1
-        return [(a, b) for a, b in out]
+        self.texts: list[bytes] = []
+        self.sizes = np.zeros((0, 5), dtype=np.int64)  # n_a, n_b, n_groups, n_links, not valid
+        self.pool = self.times = np.zeros(0, dtype=np.int64)
+        self.first = np.zeros(1, dtype=np.int64)
 
     def _learn(self, new: list[bytes]) -> None:
+        """Encode pieces, many at a time as one text, and remember their groups and links."""
+        lines: list[list[bytes]] = []
         line: list[bytes] = []
         for piece in new:
             if _OPEN[piece[-1]]:
-                self._add([piece])
-                continue
-            line.append(piece)
-            if len(line) >= LINE_PIECES:
-                self._add(line)
-                line = []
-        if line:
-            self._add(line)
-
-    def _add(self, line: list[bytes]) -> None:
-        encoded = self._encode(line)
-        if encoded is None and len(line) > 1:
-            for piece in line:
-                self._add([piece])
-            return
-        for piece, ids in zip(line, encoded or [None] * len(line)):
-            self.slots[piece] = len(self.valid)
-            self.held += len(piece)
-            self.valid.append(ids is not None)
-            links: Counter = Counter()
-            if ids is None:
-                self.sizes.append((0, 0, 0, 0))
-                self.texts.append(b"")
+                lines.append([piece])
             else:
-                groups = self._groups(*ids)
-                for left, right in groups:
-                    if len(left) == len(right) == 1:
-                        links[left[0] << 32 | right[0]] += 1
-                    else:
-                        for a, n in Counter(left).items():
-                            for b, m in Counter(right).items():
-                                links[a << 32 | b] += n * m
-                self.sizes.append((len(ids[0]), len(ids[1]), len(groups), links.total()))
-                self.texts.append(";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups).encode())
-            for pair, n in links.items():
-                number = self.numbers.setdefault(pair, len(self.pairs))
-                if number == len(self.pairs):
-                    self.pairs.append(pair)
-                self.pool.append(number)
-                self.times.append(n)
-            self.first.append(len(self.pool))
-
-    def _groups(self, left: list[int], right: list[int]) -> list[tuple[list[int], list[int]]]:
-        """The tokens between places where an A and a B token both end."""
-        out = []
-        i = j = a = b = at_a = at_b = 0
-        while a < len(left):
-            at_a += len(self.a_bytes[left[a]])
-            a += 1
-            while at_b < at_a:
-                at_b += len(self.b_bytes[right[b]])
-                b += 1
-            if at_a == at_b:
-                out.append((left[i:a], right[j:b]))
-                i, j = a, b
-        return out
+                line.append(piece)
+                if len(line) == LINE_PIECES:
+                    lines.append(line)
+                    line = []
+        lines += [line] if line else []
+        found = []
+        for part in lines:
+            one = self._aligned(part)
+            # a line with a piece that cannot be given back is taken piece by piece
+            found += [(part, one)] if one or len(part) == 1 else [([p], self._aligned([p])) for p in part]
+        sizes, piece_of, codes, times = [self.sizes], [], [], []
+        for part, one in found:
+            first = len(self.texts)
+            self.slots.update(zip(part, range(first, first + len(part))))
+            self.held += sum(map(len, part))
+            if one is None:
+                self.texts += [b""] * len(part)
+                sizes.append(np.array([[0, 0, 0, 0, 1]], dtype=np.int64))
+                continue
+            self.texts += one[0]
+            sizes.append(one[1])
+            piece_of.append(one[2] + first)
+            codes.append(one[3])
+            times.append(one[4])
+        before = len(self.sizes)
+        self.sizes = np.concatenate(sizes)
+        none = [np.zeros(0, dtype=np.int64)]
+        distinct, inverse = np.unique(np.concatenate(codes or none), return_inverse=True)
+        old = len(self.numbers)
+        numbers = np.array([self.numbers.setdefault(c, len(self.numbers)) for c in distinct.tolist()], dtype=np.int64)
+        self.pairs = np.concatenate((self.pairs, distinct[numbers >= old]))
+        key, times_of = _summed(np.concatenate(piece_of or none) * max(len(self.pairs), 1) + numbers[inverse], np.concatenate(times or none))
+        piece, number = np.divmod(key, max(len(self.pairs), 1))
+        per = np.bincount(piece - before, minlength=len(self.sizes) - before)
+        self.pool, self.times = np.concatenate((self.pool, number)), np.concatenate((self.times, times_of))
+        self.first = np.concatenate((self.first, self.first[-1] + np.cumsum(per)))
+
+    def _aligned(self, line: list[bytes]):
+        """Of the pieces of a line: texts of the groups, sizes, and the links (piece, pair, times); None if they cannot be aligned."""
+        whole = b"".join(line)
+        text = whole.decode("utf-8", "replace")
+        ids = [self.a.encode(text, add_special_tokens=False).ids, self.b.encode(text[1:], num_threads=1)]
+        if any(b"".join(map(of.__getitem__, i)) != whole for i, of in zip(ids, (self.a_bytes, self.b_bytes))):
+            return None
+        a, b = (np.array(i, dtype=np.int64) for i in ids)
+        ends_a, ends_b = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
+        common = np.intersect1d(ends_a, ends_b)
+        pieces = np.cumsum([len(p) for p in line])
+        if not np.isin(pieces, common).all():
+            return None
+        piece = np.searchsorted(pieces, common)
+        stop_a, stop_b = np.searchsorted(ends_a, common, "right"), np.searchsorted(ends_b, common, "right")
+        n_a, n_b = np.diff(stop_a, prepend=0), np.diff(stop_b, prepend=0)
+        n = n_a * n_b
+        codes, of, times = [], [], []
+        for g in np.flatnonzero(n > LARGE_GROUP).tolist():
+            left, right = Counter(a[stop_a[g] - n_a[g] : stop_a[g]].tolist()), Counter(b[stop_b[g] - n_b[g] : stop_b[g]].tolist())
+            links = {x << 32 | y: i * j for x, i in left.items() for y, j in right.items()}
+            codes.append(np.array(list(links), dtype=np.int64))
+            times.append(np.array(list(links.values()), dtype=np.int64))
+            of.append(np.full(len(links), piece[g]))
+        plain = np.where(n > LARGE_GROUP, 0, n)
+        group = np.repeat(np.arange(len(n)), plain)
+        step = np.arange(len(group)) - np.repeat(np.cumsum(plain) - plain, plain)
+        left, right = np.divmod(step, n_b[group])
+        codes.append(a[(stop_a - n_a)[group] + left] << 32 | b[(stop_b - n_b)[group] + right])
+        times.append(np.ones(len(group), dtype=np.int64))
+        of.append(piece[group])
+        sums = np.zeros((len(common) + 1, 4), dtype=np.int64)
+        np.cumsum(np.column_stack((n_a, n_b, np.ones_like(n), n)), axis=0, out=sums[1:])
+        bounds = np.searchsorted(piece, np.arange(len(line) + 1))
+        sizes = np.column_stack((sums[bounds[1:]] - sums[bounds[:-1]], np.zeros(len(line), dtype=np.int64)))
+        said = pc.binary_join_element_wise(_joined(a, stop_a, ","), _joined(b, stop_b, ","), "|")
+        texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), said), ";").cast(pa.binary()).to_pylist()
+        return texts, sizes, np.concatenate(of), np.concatenate(codes), np.concatenate(times)
 
     def block(self, block: Block) -> dict:
         """Columns of the block's texts."""
@@ -183,8 +191,7 @@ class Aligner:
         slots = np.array([self.slots[s] for s in strings], dtype=np.int64)[numbers] if strings else np.zeros(0, dtype=np.int64)
         sums = np.zeros((len(slots) + 1, 5), dtype=np.int64)
         if len(slots):
-            per = np.column_stack((np.array(self.sizes, dtype=np.int64), ~np.array(self.valid)))
-            np.cumsum(per[slots], axis=0, out=sums[1:])
+            np.cumsum(self.sizes[slots], axis=0, out=sums[1:])
         total = sums[bounds[1:]] - sums[bounds[:-1]]
         valid = (total[:, 4] == 0) & (block.sizes > 0)
         total[~valid] = 0
@@ -208,20 +215,30 @@ class Aligner:
         """Distinct pairs per text in rising order of text, how often each is linked, and the bounds of the texts."""
         if len(slots) == 0:
             return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(texts + 1, dtype=np.int64)
-        both, repeats = np.unique(text * len(self.valid) + slots, return_counts=True)
-        text, slots = np.divmod(both, len(self.valid))
-        first = np.array(self.first)
-        length = first[slots + 1] - first[slots]
+        both, repeats = np.unique(text * len(self.texts) + slots, return_counts=True)
+        text, slots = np.divmod(both, len(self.texts))
+        length = self.first[slots + 1] - self.first[slots]
         starts = np.cumsum(length) - length
-        places = np.arange(int(length.sum())) + np.repeat(first[slots] - starts, length)
-        key = np.repeat(text, length) * len(self.pairs) + np.array(self.pool, dtype=np.int64)[places]
-        times = np.array(self.times, dtype=np.int64)[places] * np.repeat(repeats, length)
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        heads = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        key, times = key[heads], np.add.reduceat(times[order], heads)
+        places = np.arange(int(length.sum())) + np.repeat(self.first[slots] - starts, length)
+        key, times = _summed(np.repeat(text, length) * len(self.pairs) + self.pool[places], self.times[places] * np.repeat(repeats, length))
         text, number = np.divmod(key, len(self.pairs))
-        return np.array(self.pairs, dtype=np.int64)[number], times, np.searchsorted(text, np.arange(texts + 1))
+        return self.pairs[number], times, np.searchsorted(text, np.arange(texts + 1))
+
+
+def _summed(key: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order and the sum of their times."""
+    if len(key) == 0:
+        return key, times
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    heads = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    return key[heads], np.add.reduceat(times[order], heads)
+
+
+def _joined(ids: np.ndarray, stops: np.ndarray, sign: str) -> pa.Array:
+    """The decimal ids of each group, joined."""
+    offsets = pa.array(np.concatenate(([0], stops)), pa.int32())
+    return pc.binary_join(pa.ListArray.from_arrays(offsets, pa.array(ids).cast(pa.string())), sign)
 
 
 def _cut(block: Block, cuts: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -7,6 +7,7 @@ from inkmark.llm.compression_quality import op7_quality_score
 from inkmark.llm.decontamination import op10_decontamination
 from inkmark.llm.language import op9_language
 from inkmark.llm.packing import op5_packing
+from inkmark.llm.phrases import OP13_SQL, op13_collocations
 from inkmark.llm.pii import op3_pii
 from inkmark.llm.quality_rules import op8_quality_rules
 from inkmark.llm.sketch_dedup import OP6_SQL, op6_near_duplicates
@@ -26,9 +27,11 @@ QUERIES = {
     "op9_language": op9_language,
     "op10_decontamination": op10_decontamination,
     "op12_alignment": op12_alignment,
+    "op13_collocations": op13_collocations,
 }
 #: The other queries fit models or use a tokenizer's library; tests hold them against brute force.
 ORACLES = {
     "op2_warc": OP2_SQL,
     "op6_near_duplicates": OP6_SQL,
+    "op13_collocations": OP13_SQL,
 }
