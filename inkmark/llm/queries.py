@@ -11,6 +11,7 @@ from inkmark.llm.phrases import OP13_SQL, op13_collocations
 from inkmark.llm.pii import op3_pii
 from inkmark.llm.quality_rules import op8_quality_rules
 from inkmark.llm.sketch_dedup import OP6_SQL, op6_near_duplicates
+from inkmark.llm.suffix_dedup import op11_repeats
 from inkmark.llm.token_counts import op4_token_counts
 from inkmark.llm.token_store import op1_token_ids
 from inkmark.llm.warc import OP2_SQL, op2_warc
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_language": op9_language,
     "op10_decontamination": op10_decontamination,
+    "op11_repeats": op11_repeats,
     "op12_alignment": op12_alignment,
     "op13_collocations": op13_collocations,
 }
