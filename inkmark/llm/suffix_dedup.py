@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +36,7 @@ BITS = 1 << 25
 # Bytes of text taken at once; a longer text is taken in pieces whose windows do not overlap.
 BLOCK_BYTES = 1 << 20
 # Bytes of suffixes in a bucket, about.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 32 << 20
 # Suffixes that a task remembers to have sent, so that copies of a text are sent once.
 SENT = 500_000
 
@@ -225,8 +226,10 @@ def multikey_sort(strings: list[bytes], width: int) -> tuple[np.ndarray, np.ndar
     return order, shared
 
 
-def compare_bucket(suffixes: list[bytes], before: list[bytes], windows: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per suffix and window: is it repeated within the bucket, and may it be so beyond (its equals reach the bucket's ends)?"""
+def compare_bucket(
+    suffixes: list[bytes], before: list[bytes], windows: np.ndarray, length: int, below: bool, above: bool
+) -> tuple[np.ndarray, np.ndarray]:
+    """Per suffix and window: is it repeated within the bucket, and may it be so beyond (its equals reach an end with a neighbour)?"""
     spread = length // 2
     lead = np.array([len(b) for b in before], dtype=np.int64)
     order, shared = multikey_sort(suffixes, length)
@@ -244,11 +247,11 @@ def compare_bucket(suffixes: list[bytes], before: list[bytes], windows: np.ndarr
         column = lead[own] - back
         repeated[own, column] = n[inverse] > 1
         ends = group[own]
-        beyond[own, column] = (ends == group[order[0]]) | (ends == group[order[-1]])
+        beyond[own, column] = (below & (ends == group[order[0]])) | (above & (ends == group[order[-1]]))
     return repeated, beyond
 
 
-def _compared(suffixes: DataFrame, length: int) -> DataFrame:
+def _compared(suffixes: DataFrame, buckets: int, length: int) -> DataFrame:
     """(key, start, windows, digest): repeated runs of windows, without digest, and single windows for the boundaries, with it.
 
     A window that may be repeated beyond its bucket comes once with its text where it is not repeated within, and once
@@ -263,7 +266,8 @@ def _compared(suffixes: DataFrame, length: int) -> DataFrame:
         suffix, before, keys, start, windows = columns
         out = []
         if suffix:
-            repeated, beyond = compare_bucket(suffix, before, np.array(windows), length)
+            bucket = TaskContext.get().partitionId()
+            repeated, beyond = compare_bucket(suffix, before, np.array(windows), length, bucket > 0, bucket < buckets - 1)
             for i in np.flatnonzero(repeated.any(axis=1)).tolist():
                 edge = np.flatnonzero(np.diff(np.concatenate(([False], repeated[i], [False])).astype(np.int8)))
                 out += [(keys[i], start[i] + a, b - a, None) for a, b in zip(edge[0::2].tolist(), edge[1::2].tolist())]
@@ -340,7 +344,7 @@ def remove_repeats(
     bits = bitmap(wanted.select(F.pmod("place", F.lit(BITS)).alias("residue")), "residue", BITS)
     parts = max(1, wanted.count() * (length + length // 2) // BUCKET_BYTES + 1)
     suffixes = _suffixes(texts, bits, length).repartitionByRange(parts, "suffix", "before")
-    compared = stored(_compared(suffixes, length), "compared")
+    compared = stored(_compared(suffixes, parts, length), "compared")
 
     edges = compared.filter("digest IS NOT NULL")
     # a digest comes at most once per bucket and text place, so no group of it is large
