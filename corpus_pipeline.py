@@ -10,7 +10,8 @@ from inkmark.llm.decontamination import contaminated
 from inkmark.llm.packing import pack_documents
 from inkmark.llm.pii import find_pii, fit_pii
 from inkmark.llm.quality_rules import apply_rules, fit_rules
-from inkmark.llm.sketch_dedup import kept_sets, with_set_keys
+from inkmark.llm.sketch_dedup import kept_rows
+from inkmark.session import broadcast_checked
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -21,24 +22,29 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return judged.filter("kept").select(*COLUMNS)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """The rows with ``row_key``, 128 bits of all their columns: rows that share an id, or have none, are told apart by it."""
+    row = F.to_json(F.struct(*COLUMNS), {"ignoreNullFields": "false"})
+    return docs.select(*COLUMNS, F.unhex(F.md5(row)).alias("row_key"))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component: that of the smallest id, and a row without id only where all are; texts decide, not ids.
 
-    Rows that share an id, or have none, stay with every text that is no copy. Of rows with one id and one set of shingles the
-    smallest stays; a text without words is a copy only of such a text under its own id.
+    Rows that share an id, or have none, stay with every text that is no copy. Of rows with one id and one set of shingles one
+    stays, the same on every run; a text without words is a copy only of such a text under its own id.
     """
-    mark = lambda key: F.concat(key, F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    kept = kept_sets(docs).select(mark(F.col("key")).alias("mark"))
-    rows = with_set_keys(docs.select(*COLUMNS)).select(mark(F.col("set_key")).alias("mark"), F.struct(*COLUMNS).alias("row"))
-    rows = rows.groupBy("mark").agg(F.min("row").alias("row"))
-    return rows.join(kept, "mark", "left_semi").select("row.*")
+    rows = keyed(docs)
+    # the join brings equal rows together, so the last step needs no exchange of its own
+    return rows.join(kept_rows(rows, "row_key"), "row_key", "left_semi").dropDuplicates(["row_key"]).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows without a benchmark item; rows that share an id, or have none, are judged each by its own text."""
-    rows = docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
+    rows = keyed(docs)
     found = contaminated(rows, table(spark, sf_dir, "benchmark"), id_col="row_key").select(F.col("doc_id").alias("row_key")).distinct()
-    return rows.join(found, "row_key", "left_anti").select(*COLUMNS)
+    # few rows are found as a rule; then the texts need not move
+    return rows.join(broadcast_checked(stored(found, "found")), "row_key", "left_anti").select(*COLUMNS)
 
 
 def pii_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,8 @@ bound the working memory inside a batch as well: a kernel needs a small multiple
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -86,10 +88,18 @@ def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], dict], schem
             for piece in pieces(batch):
                 columns = function(piece)
                 yield pa.RecordBatch.from_arrays([as_array(columns[f.name], f.type) for f in arrow], schema=arrow)
+        give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task, since Spark keeps its Python workers."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def pieces(batch: pa.RecordBatch, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch of about ``limit`` bytes, so that copies made of a slice stay small."""
     rows = max(1, int(batch.num_rows * limit / max(batch.nbytes, 1)))

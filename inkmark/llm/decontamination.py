@@ -145,8 +145,9 @@ def _window_rows(df: DataFrame, id_col: str, text_col: str, name: str, sizes: tu
         columns = dict(zip(fields, list(zip(*rows)) or [[]] * len(fields)))
         return columns | {"slots": pa.array(columns["slots"], type=pa.list_(pa.int64()))}
 
-    rows = df.select(F.col(id_col).cast("long"), text_col)
-    return map_batches(rows, find, f"{name} bigint, position bigint, window bigint, slots array<bigint>, literal boolean, half boolean")
+    kind = "binary" if df.schema[id_col].dataType.simpleString() == "binary" else "bigint"
+    rows = df.select(F.col(id_col).cast(kind), text_col)
+    return map_batches(rows, find, f"{name} {kind}, position bigint, window bigint, slots array<bigint>, literal boolean, half boolean")
 
 
 def contaminated(
@@ -159,7 +160,7 @@ def contaminated(
     is one window, below three tokens it is not searched for. Literal copies are found whatever their case and punctuation,
     and also where most of a window is slots. Changed numbers, names and units are found in windows that are at least half
     literal, names only where capitals show them; an item is held by enough of all its windows, or of these. Null or empty texts match nothing; rows that share an id
-    are one document, rows without id likewise; repeated items count each under their ids. Other columns are ignored.
+    are one document, rows without id likewise; ids are whole numbers or binary keys; repeated items count each under their ids. Other columns are ignored.
     Only matching windows leave the tasks; a window common to many documents meets few rows of the benchmark.
     """
     sizes = tuple(range(SHORTEST, WINDOW + 1))

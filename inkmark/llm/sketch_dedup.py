@@ -65,20 +65,8 @@ def set_key(values: np.ndarray) -> bytes:
     return hashlib.blake2b(values.tobytes(), digest_size=16).digest()
 
 
-def with_set_keys(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows with the ``set_key`` of their text."""
-
-    def measure(batch):
-        names = batch.schema.names
-        keys = [set_key(s) for b in blocks(batch.column(names.index(text_col))) for s in _sets(b)]
-        return {n: batch.column(i) for i, n in enumerate(names)} | {"set_key": keys}
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return map_batches(df, measure, f"{schema}, set_key binary")
-
-
-def shingle_prints(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, key (128 bits of the whole set), n_shingles and the retained values of every text."""
+def shingle_prints(df: DataFrame, id_col: str, text_col: str, row_col: str | None = None) -> DataFrame:
+    """doc_id, key (128 bits of the whole set), n_shingles and the retained values of every text, and the row's own key."""
 
     def measure(batch):
         sets = [s for b in blocks(batch.column(1)) for s in _sets(b)]
@@ -87,10 +75,12 @@ def shingle_prints(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             "key": [set_key(s) for s in sets],
             "n_shingles": [len(s) for s in sets],
             "sketch": _lists([s if len(s) <= WHOLE else s[:K] for s in sets]),
+            "row_key": batch.column(2),
         }
 
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return map_batches(rows, measure, "doc_id bigint, key binary, n_shingles bigint, sketch array<bigint>")
+    row = F.col(row_col) if row_col else F.lit(None)
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), row.cast("binary").alias("row_key"))
+    return map_batches(rows, measure, "doc_id bigint, key binary, n_shingles bigint, sketch array<bigint>, row_key binary")
 
 
 def _overlap_needed(n: Column, m: Column) -> Column:
@@ -191,21 +181,25 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
 
 
-def kept_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(key, doc_id): of each component the set whose smallest id is the smallest, and that id; null only if all ids are.
+def kept_rows(df: DataFrame, row_col: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(row_key): the rows that stay, named by ``row_col``, a key of the whole row.
 
-    Of sets with the same smallest id the one with the smallest key stands for the component. The empty set is linked with
-    nothing and comes once with every id that has it.
+    Of each component that is one row of the set whose smallest id is the smallest, with that id; a row without id only where
+    all are. Of sets with the same smallest id that with the smallest key stands for the component, of rows with one id and one
+    set that with the smallest row key. The empty set is linked with nothing and stays once with every id that has it.
     """
-    prints, classes = _placed(df, id_col, text_col)
+    prints, classes = _placed(df, id_col, text_col, row_col)
     first = F.min(F.struct(F.col("first_doc").isNull().alias("missing"), "first_doc", "key")).alias("first")
     kept = classes.groupBy("component").agg(first).select("first.key", F.col("first.first_doc").alias("doc_id"))
-    return kept.unionByName(prints.filter("n_shingles = 0").select("key", "doc_id").distinct())
+    kept = kept.unionByName(prints.filter("n_shingles = 0").select("key", "doc_id").distinct())
+    mark = F.concat("key", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("mark")
+    rows = prints.groupBy(mark).agg(F.min("row_key").alias("row_key"))
+    return rows.join(kept.select(mark), "mark", "left_semi").select("row_key")
 
 
-def _placed(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+def _placed(df: DataFrame, id_col: str, text_col: str, row_col: str | None = None) -> tuple[DataFrame, DataFrame]:
     """The prints of the rows, and (key, first_doc, component) of their sets other than the empty one."""
-    prints = stored(shingle_prints(df, id_col, text_col), "prints")
+    prints = stored(shingle_prints(df, id_col, text_col, row_col), "prints")
     classes = prints.filter("n_shingles > 0").groupBy("key").agg(
         F.min("doc_id").alias("first_doc"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")
     )
