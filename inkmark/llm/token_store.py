@@ -46,6 +46,8 @@ def _encoded(df: DataFrame, tokenizer: str, end_id: int, width: int) -> DataFram
         model, payload, sizes = encoder(tokenizer), [], []
         for block in blocks(batch.column(2)):
             ids, count = model.ids(block)
+            if len(ids) and int(ids.max()) >= 1 << (8 * width):
+                raise ValueError(f"id {int(ids.max())} needs more than {width} bytes")
             payload.append(np.insert(ids, np.cumsum(count), end_id).astype(f"<u{width}"))
             sizes.append(count + 1)
         offsets = np.concatenate(([0], np.cumsum(np.concatenate(sizes)) * width)).astype(np.int32)

@@ -114,3 +114,33 @@ def test_store_of_odd_rows(spark, library):
     empty = scratch_path(spark, "store")
     write_store(rows.limit(0), empty, PATH)
     assert read_rows(spark, empty, lookup(spark, empty, keys)).collect() == []
+
+
+def thue_morse(size):
+    """Two words that polynomial hashes modulo a power of two cannot tell apart."""
+    text, other = "a", str.maketrans("ab", "ba")
+    while len(text) < size:
+        text += text.translate(other)
+    return text, text.translate(other)
+
+
+def test_structured_words_keep_their_ids():
+    from tokenizers import Tokenizer
+
+    from inkmark.llm.arrow import Block
+    from inkmark.llm.tokens import Encoder, public_path
+
+    path = public_path("word_bpe_49k.json")
+    texts = [*thue_morse(1024), *thue_morse(4096)]
+    library = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    ids, sizes = Encoder(path).ids(Block([t.encode() for t in texts], 0))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == library
+    array = np.frombuffer(" ".join(texts).encode(), dtype=np.uint8)
+    assert len(set(span_hashes(array, *words_of(array)).tolist())) == 4
+
+
+def test_patterns_that_keep_white_space_are_not_taken_word_by_word():
+    from inkmark.llm.tokens import _matches_space
+
+    assert _matches_space(r" ?[^\s\p{L}\p{N}]+| ?\p{L}+")
+    assert not _matches_space(r"'s|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
