@@ -87,6 +87,64 @@ def sample_nested_quota(
     return df.join(kept, key, "left_semi").select(*columns)
 
 
+def sample_coupled_quota(
+    df: DataFrame, max_per_model: int, max_per_domain_label: int, max_human: int, max_ai: int, key: str = "doc_id"
+) -> DataFrame:
+    """The scan-order rule in hash order: a row is taken if none of its counters is full, and only taken rows count.
+
+    A row refused by one cap thus uses up no other. Each counter (generator of machine rows, domain and label, label) is full
+    from some row on, and a row is taken where it comes no later than all its counters' last rows. These last rows are a
+    fixed point: a counter's last row is the cap-th of its rows that the other counters let pass. Rounds of prefix counts
+    find it. Each settles at least the next counter to fill, as that depends on earlier rows only, so there are at most as many
+    rounds as counters, and in practice a few; no counter's rows are ever sorted whole.
+
+    Rows without generator or domain have counters of their own, as in :func:`sample_nested_quota`. Equal keys are equal
+    hashes: give a key that is unique.
+    """
+    is_ai = F.col("label") == 1
+    named = lambda kind, *values: F.concat_ws("|", F.lit(kind), *[F.coalesce(v.cast("string"), F.lit("")) for v in values])
+    label_cap = F.when(is_ai, F.lit(max_ai)).otherwise(F.lit(max_human))
+    counter = lambda name, cap: F.struct(name.alias("counter"), cap.cast("long").alias("quota"))
+    counters = F.filter(
+        F.array(
+            counter(F.when(is_ai, named("model", _known("model"))), F.lit(max_per_model)),
+            counter(named("domain", F.col("label"), _known("domain")), F.lit(max_per_domain_label)),
+            counter(named("label", F.col("label")), label_cap),
+        ),
+        lambda c: c["counter"].isNotNull(),
+    )
+    rows = cut_lineage(df.select(F.col(key), hash_key(key).alias("_h"), counters.alias("counters")))
+    one = rows.select("_h", F.posexplode("counters").alias("at", "own")).select("_h", "own.counter", "own.quota")
+    caps = cut_lineage(one.groupBy("counter").agg(F.first("quota").alias("quota"), F.count(F.lit(1)).alias("n")))
+    # no hash is behind "g"; a counter that is never full has no last row, one with cap zero none but ''
+    last = cut_lineage(caps.select("counter", F.when(F.col("quota") <= 0, "").otherwise("g").alias("last")))
+    for _ in range(caps.count() + 1):
+        open_to = F.filter(F.col("held"), lambda c: c["last"] < F.col("_h"))
+        full = _with_last(rows, last).select("_h", "held", F.size(open_to).alias("full"))
+        # a row counts for a counter if no other one of its counters is full
+        counted = full.filter("full <= 1").select("_h", "full", F.explode("held").alias("c"))
+        counted = counted.filter((F.col("full") == 0) | (F.col("c.last") < F.col("_h"))).select("_h", F.col("c.counter").alias("counter"))
+        found = thresholds(counted, ["counter"], caps.select("counter", "quota"), ["quota"], few_strata=False)
+        now = caps.select("counter", F.col("quota").alias("cap")).join(broadcast_checked(found.withColumnRenamed("quota", "found")), "counter", "left")
+        now = cut_lineage(now.select("counter", F.when(F.col("cap") <= 0, "").otherwise(F.coalesce("found", F.lit("g"))).alias("last")))
+        settled = now.join(last.withColumnRenamed("last", "before"), "counter").filter("last <> before").isEmpty()
+        last = now
+        if settled:
+            break
+    taken = _with_last(rows, last).filter(F.forall("held", lambda c: c["last"] >= F.col("_h"))).select(key)
+    return df.join(broadcast_checked(cut_lineage(taken)), key, "left_semi")
+
+
+def _with_last(rows: DataFrame, last: DataFrame) -> DataFrame:
+    """The rows with ``held``: their counters, each with its last row's hash."""
+    out = rows
+    for i in range(3):
+        own = broadcast_checked(last.select(F.col("counter").alias(f"_c{i}"), F.col("last").alias(f"_l{i}")))
+        out = out.withColumn(f"_c{i}", F.get(F.col("counters"), F.lit(i))["counter"]).join(own, f"_c{i}", "left")
+    held = F.array(*[F.struct(F.col(f"_c{i}").alias("counter"), F.col(f"_l{i}").alias("last")) for i in range(3)])
+    return out.select(*rows.columns, F.filter(held, lambda c: c["counter"].isNotNull()).alias("held"))
+
+
 def split_stratified(df: DataFrame, key: str = "doc_id") -> DataFrame:
     """80/20 by label: ``ceil(n/5)`` test rows, shared over the classes in proportion."""
     columns = df.columns

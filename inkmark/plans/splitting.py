@@ -99,6 +99,24 @@ def sample_quota_nulls(spark, sf_dir):
     return splits.sample_nested_quota(rows, max_per_model=60, max_per_domain_label=40, max_human=30, max_ai=100)
 
 
+@query(
+    "sample_scan_quota",
+    f"""WITH RECURSIVE {o.with_(o.DOCS, o.GENERATED, _HOLES).removeprefix('WITH ')},
+ordered AS (SELECT *, row_number() OVER (ORDER BY {_hash('doc_id')}) AS i,
+  CASE WHEN label = 1 THEN 'm' || coalesce(model, '') END AS m, 'd' || label || coalesce(domain, 'unknown') AS d, 'l' || label AS l FROM holed),
+scan AS (SELECT 0::BIGINT AS i, NULL::BIGINT AS taken, []::VARCHAR[] AS held
+  UNION ALL SELECT o.i, CASE WHEN ok THEN doc_id END, CASE WHEN ok THEN held || [coalesce(m, '-'), d, l] ELSE held END
+  FROM (SELECT o.i, o.doc_id, o.m, o.d, o.l, s.held,
+    len(list_filter(held, lambda x: x = o.d)) < 20 AND len(list_filter(held, lambda x: x = o.l)) < CASE WHEN o.label = 1 THEN 45 ELSE 40 END
+    AND (o.m IS NULL OR len(list_filter(held, lambda x: x = o.m)) < 25) AS ok FROM scan s JOIN ordered o ON o.i = s.i + 1) o)
+SELECT doc_id, label, domain, model FROM ordered WHERE doc_id IN (SELECT taken FROM scan)""",
+)
+def sample_scan_quota(spark, sf_dir):
+    """Coupled counters: only rows that every counter lets pass are counted."""
+    rows = _holed(spark, sf_dir).drop("attack")
+    return splits.sample_coupled_quota(rows, max_per_model=25, max_per_domain_label=20, max_human=40, max_ai=45)
+
+
 @query(
     "sample_cap",
     f"""SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (ORDER BY {_hash('doc_id')}) AS rn FROM documents)
