@@ -103,6 +103,20 @@ def _stratified_folds(vectors: DataFrame, key: str) -> DataFrame:
     return placed.withColumn("_fold", fold).drop("_h", *cuts)
 
 
+def fit_sigmoid(margins: DataFrame) -> tuple[float, float]:
+    """Slope and intercept of the sigmoid over the one-column ``features`` for smoothed targets.
+
+    The target is (n1 + 1) / (n1 + 2) for the n1 rows of class 1 and 1 / (n0 + 2) for the others. A row with target t is the
+    row of class 1 with weight t and that of class 0 with weight 1 - t; only two numbers leave the cluster.
+    """
+    n = margins.agg(F.count_if(F.col("label") == 1).alias("one"), F.count_if(F.col("label") != 1).alias("zero")).first()
+    target = F.when(F.col("label") == 1, (n["one"] + 1.0) / (n["one"] + 2.0)).otherwise(1.0 / (n["zero"] + 2.0))
+    both = F.explode(F.array(F.struct(F.lit(1.0).alias("label"), target.alias("weight")), F.struct(F.lit(0.0).alias("label"), (1 - target).alias("weight"))))
+    soft = margins.select("features", both.alias("t")).select("features", "t.label", "t.weight")
+    sigmoid = LogisticRegression(regParam=0.0, standardization=False, maxIter=500, tol=1e-13, weightCol="weight").fit(soft)
+    return float(sigmoid.coefficients[0]), float(sigmoid.intercept)
+
+
 class SigmoidCalibrated:
     """Three linear SVMs, each with a sigmoid fitted on the fold it has not seen; mean of three."""
 
@@ -119,8 +133,7 @@ class SigmoidCalibrated:
             margins = model.transform(folded.filter(F.col("_fold") == i)).select(
                 "label", array_to_vector(F.array(vector_to_array("rawPrediction")[1])).alias("features")
             )
-            sigmoid = LogisticRegression(regParam=0.0, standardization=False, maxIter=100).fit(margins)
-            members.append((model, float(sigmoid.coefficients[0]), float(sigmoid.intercept)))
+            members.append((model, *fit_sigmoid(margins)))
         folded.unpersist()
         return cls(members)
 

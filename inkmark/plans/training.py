@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from inkmark.functions import ngrams
@@ -223,6 +224,27 @@ def fit_checks(spark, sf_dir):
     return spark.createDataFrame(rows, schema)
 
 
+@query(
+    "fit_sigmoid",
+    f"""WITH RECURSIVE {o.with_(o.DOCS).removeprefix('WITH ')},
+m AS (SELECT (n_chars % 97) / 97.0::DOUBLE - 0.5 + 0.3 * label AS x, label FROM docs),
+c AS (SELECT count(*) FILTER (label = 1) AS n1, count(*) FILTER (label <> 1) AS n0 FROM m),
+d AS (SELECT x, CASE WHEN label = 1 THEN (n1 + 1.0::DOUBLE) / (n1 + 2) ELSE 1.0::DOUBLE / (n0 + 2) END AS t FROM m, c),
+fit AS (SELECT 0 AS i, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b
+  UNION ALL SELECT i + 1, a + (hb * ga - hab * gb) / (ha * hb - hab * hab), b + (ha * gb - hab * ga) / (ha * hb - hab * hab)
+  FROM (SELECT i, a, b, sum((t - p) * x) AS ga, sum(t - p) AS gb, sum(p * (1 - p) * x * x) AS ha, sum(p * (1 - p) * x) AS hab, sum(p * (1 - p)) AS hb
+    FROM (SELECT i, a, b, x, t, 1 / (1 + exp(-(a * x + b))) AS p FROM fit, d WHERE i < 20) GROUP BY i, a, b))
+SELECT n1 AS n_one, n0 AS n_zero, round(a, 5) AS slope, round(b, 5) AS intercept FROM fit, c WHERE i = 20""",
+)
+def fit_sigmoid(spark, sf_dir):
+    """Slope and intercept of a sigmoid with smoothed targets over a margin that overlaps between the classes."""
+    margin = (F.col("n_chars") % 97) / F.lit(97.0) - 0.5 + 0.3 * F.col("label")
+    rows = docs_labeled(spark, sf_dir).select("label", array_to_vector(F.array(margin)).alias("features"))
+    slope, intercept = t.fit_sigmoid(rows)
+    sizes = rows.agg(F.count_if(F.col("label") == 1).alias("n_one"), F.count_if(F.col("label") != 1).alias("n_zero"))
+    return sizes.select("n_one", "n_zero", F.round(F.lit(slope), 5).alias("slope"), F.round(F.lit(intercept), 5).alias("intercept"))
+
+
 MATRIX_SPLITS = (
     "split_stratified", "split_three_way", "split_source_grouped", "split_domain_holdout", "split_generator_holdout_disjoint",
     "split_attack_holdout_disjoint",

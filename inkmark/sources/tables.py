@@ -39,7 +39,7 @@ def format_of(path: str) -> str:
         raise ValueError(f"unsupported file type: {path}") from None
 
 
-def _read(spark: SparkSession, kind: str, paths: list[str], schema: T.StructType | str | None) -> DataFrame:
+def _read(spark: SparkSession, kind: str, paths: list[str], schema: T.StructType | str | None, multi_line: bool = True) -> DataFrame:
     reader = spark.read if schema is None else spark.read.schema(schema)
     if kind == "parquet":
         return reader.parquet(*paths)
@@ -48,15 +48,18 @@ def _read(spark: SparkSession, kind: str, paths: list[str], schema: T.StructType
     if kind == "json":
         # one JSON array per file: a file is the unit of parallelism
         return reader.option("multiLine", True).json(paths)
-    reader = reader.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"')
+    reader = reader.option("header", True).option("multiLine", multi_line).option("quote", '"').option("escape", '"')
     if schema is None:
         reader = reader.option("inferSchema", True)
     return reader.option("sep", "\t" if kind == "tsv" else ",").csv(paths)
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """Read one table; give the schema of known feeds to avoid an inference pass."""
-    return _read(spark, format_of(path), [path], schema)
+def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None, multi_line: bool = True) -> DataFrame:
+    """Read one table; give the schema of known feeds to avoid an inference pass.
+
+    Fields of CSV and TSV may hold line ends, so a file is one task; ``multi_line=False`` splits files without such fields.
+    """
+    return _read(spark, format_of(path), [path], schema, multi_line)
 
 
 def _children(spark: SparkSession, folder: str) -> list[tuple[str, bool]]:
@@ -96,28 +99,36 @@ def discover_tables(spark: SparkSession, folder: str, prefer_monolingual: bool =
 
 
 def read_tables(
-    spark: SparkSession, paths: list[str], root: str, schema: T.StructType | str | None = None
+    spark: SparkSession, paths: list[str], root: str, schema: T.StructType | str | None = None, multi_line: bool = True
 ) -> DataFrame:
     """Union of many tables with ``source_file`` relative to ``root``: one scan per format."""
+    below = _relative(_resolved(spark, root))
     by_format: dict[str, list[str]] = {}
     for path in paths:
         by_format.setdefault(format_of(path), []).append(path)
     return union_all(
-        [_read(spark, kind, group, schema).withColumn("source_file", _relative(root)) for kind, group in sorted(by_format.items())]
+        [_read(spark, kind, group, schema, multi_line).withColumn("source_file", below) for kind, group in sorted(by_format.items())]
     )
 
 
+def _resolved(spark: SparkSession, root: str) -> str:
+    """The absolute path of a folder in its file system, without scheme and host."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(root)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop).toUri().getPath()
+
+
 def _relative(root: str) -> Column:
-    """Path of a row's table below ``root``; an error where the row comes from elsewhere.
+    """Path of a row's table below the resolved ``root``; an error where the row comes from elsewhere.
 
     Spark gives paths URL-encoded. A plus sign stands for itself there, so it is protected from the decoder.
     """
     decoded = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    prefix = "/" + root.split(":", 1)[-1].strip("/") + "/"
-    below = F.substring_index(decoded, prefix, -1)
+    path = F.regexp_replace(decoded, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    prefix = root.rstrip("/") + "/"
+    below = F.substr(path, F.lit(len(prefix) + 1))
     suffixes = "|".join(s.lstrip(".") for s in FORMATS)
     table = F.regexp_extract(below, rf"^(.*?\.(?:{suffixes}))(?:/[^/]*)?$", 1)
-    inside = F.contains(decoded, F.lit(prefix)) & (table != "")
+    inside = F.startswith(path, F.lit(prefix)) & (table != "")
     return F.when(inside, table).otherwise(F.raise_error(F.concat(F.lit(f"not a table below {root}: "), decoded)))
 
 
