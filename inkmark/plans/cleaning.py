@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from inkmark.functions import labels, text
 from inkmark.operators import columns, dedup, reshape
-from inkmark.operators.near_duplicates import earliest_partners, minhash_partners, near_duplicate_report
+from inkmark.operators.near_duplicates import earliest_partners, hyperplane_partners, minhash_partners, near_duplicate_report
 from inkmark.plans import oracle as o
 from inkmark.sources.bindings import conv_labeled, docs_labeled, table, with_conflicts, with_generators, with_markers
 
@@ -515,6 +515,13 @@ def near_dup_cosine(spark, sf_dir):
     return near_duplicate_report(docs, earliest_partners(docs))
 
 
+@query("near_dup_hyperplane", ORACLES["near_dup_cosine"])
+def near_dup_hyperplane(spark, sf_dir):
+    """The approximate audit; a pair at the threshold is missed with a chance of one in a thousand."""
+    docs = distinct_docs(spark, sf_dir)
+    return near_duplicate_report(docs, hyperplane_partners(docs))
+
+
 @query("near_dup_minhash")
 def near_dup_minhash(spark, sf_dir):
     docs = distinct_docs(spark, sf_dir)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from inkmark.functions import stylometry
 from inkmark.models.transformer import StylometricFeatures
 from inkmark.operators import audits, columns, dedup, metrics, splits
-from inkmark.operators.near_duplicates import earliest_partners, minhash_partners
+from inkmark.operators.near_duplicates import earliest_partners, hyperplane_partners, minhash_partners
 from inkmark.sources import tables
 from inkmark.streaming import jobs
 from tests.test_functions import word_boundary_grams
@@ -170,6 +170,8 @@ def test_near_duplicates_equal_brute_force(spark):
     expected = brute_force_partners(texts)
     got = {r["id"]: r["partner"] for r in earliest_partners(docs).collect()}
     assert got == expected and len(got) > 60
+    found = {r["id"]: r["partner"] for r in hyperplane_partners(docs).collect()}
+    assert sum(found.get(i) == p for i, p in expected.items()) >= 0.95 * len(expected) and set(found) <= set(expected)
     approximate = {r["id"] for r in minhash_partners(docs).collect()}
     assert approximate <= set(expected) and len(approximate) > len(expected) // 2
 
