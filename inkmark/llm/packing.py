@@ -1,14 +1,15 @@
 """Best-fit packing into sequences of several permitted lengths.
 
 Pieces are packed in groups that hold a bounded number of tokens, so the work is spread and no task sees all. Within a
-group pieces go, longest first, to the open bin with the least room that takes them; where none does, the bin size with
-the least cost per token that it can still be filled with is opened. That is done once for each largest size that may
-be opened, the cheapest outcome stays, and in the end every bin shrinks to the smallest size that holds its contents.
+group pieces go, longest first, to the open bin with the least room that takes them; where none does, the bin size that is
+expected to cost least per token, once filled with pieces still to come and shrunk, is opened. The sizes are chosen jointly:
+that outcome competes with one for each size below which no bin is opened, and the cheapest stays. In the end every bin
+shrinks to the smallest size that holds its contents.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,39 +35,79 @@ def cost(capacity: int) -> float:
     return capacity + capacity * capacity / ATTENTION + FIXED
 
 
-def _best_fit(lengths: list[int], capacities: tuple[int, ...], largest: int) -> tuple[list[int], list[int]]:
-    """Bin of each piece (lengths falling), and the tokens per bin; pieces over ``largest`` open the least size that fits."""
+def fitted(tokens: int, capacities: tuple[int, ...]) -> int:
+    """The smallest permitted size that holds the tokens."""
+    return next(c for c in capacities if c >= tokens)
+
+
+class _Outlook:
+    """What a new bin of each size is expected to cost per token, given the pieces that are still to come."""
+
+    def __init__(self, lengths: list[int], capacities: tuple[int, ...]):
+        self.sizes = sorted(set(lengths))
+        self.left = [0] * len(self.sizes)
+        self.at = {n: i for i, n in enumerate(self.sizes)}
+        for n in lengths:
+            self.left[self.at[n]] += 1
+        self.capacities = capacities
+        self.known: dict[int, int] = {}
+
+    def choose(self, length: int) -> int:
+        """The size whose bin, filled with this piece and the largest ones to come that fit, is cheapest after shrinking.
+
+        Decided when a bin is first opened for a length, and kept for that length.
+        """
+        if length not in self.known:
+            offers = []
+            for capacity in self.capacities:
+                if capacity >= length:
+                    total, free = length, capacity - length
+                    i = bisect_right(self.sizes, free) - 1
+                    while i >= 0:
+                        # pieces come longest first, so all shorter ones are still to come
+                        n = min(self.left[i], free // self.sizes[i])
+                        total += n * self.sizes[i]
+                        free -= n * self.sizes[i]
+                        i = min(i - 1, bisect_right(self.sizes, free) - 1)
+                    offers.append((cost(fitted(total, self.capacities)) / total, capacity))
+            self.known[length] = min(offers)[1]
+        return self.known[length]
+
+
+def _best_fit(lengths: list[int], capacities: tuple[int, ...], least: int | None) -> tuple[list[int], list[int]]:
+    """Bin of each piece (lengths falling), and the tokens per bin.
+
+    A new bin has the size that the outlook chooses or, with ``least``, the least size from there on that takes the piece.
+    """
     bins: list[int] = []  # tokens
     room: list[tuple[int, int]] = []  # (free tokens, bin), rising
     placed = []
-    rest = sum(lengths)
+    outlook = _Outlook(lengths, capacities) if least is None else None
     for length in lengths:
+        if outlook:
+            outlook.left[outlook.at[length]] -= 1
         at = bisect_left(room, (length, -1))
         if at < len(room):
             free, number = room.pop(at)
         else:
-            fits = [c for c in capacities if c >= length]
-            able = [c for c in fits if c <= largest] or fits[:1]
-            free = min(able, key=lambda c: (cost(c) / min(c, rest), c))
+            free = outlook.choose(length) if outlook else next(c for c in capacities if c >= max(length, least))
             number = len(bins)
             bins.append(0)
         bins[number] += length
-        rest -= length
         placed.append(number)
         if free > length:
             insort(room, (free - length, number))
     return placed, bins
 
 
-def fitted(tokens: int, capacities: tuple[int, ...]) -> int:
-    """The smallest permitted size that holds the tokens."""
-    return next(c for c in capacities if c >= tokens)
+def outcomes(lengths: list[int], capacities: tuple[int, ...]) -> list[tuple[list[int], list[int]]]:
+    """Packings with sizes chosen by the outlook and, for each permitted size, with no smaller bin opened than that."""
+    return [_best_fit(lengths, capacities, least) for least in (None, *capacities)]
 
 
 def pack_group(lengths: list[int], capacities: tuple[int, ...]) -> tuple[list[int], list[int]]:
-    """The cheapest packing over the largest sizes that may be opened, after shrinking."""
-    outcomes = [_best_fit(lengths, capacities, largest) for largest in capacities]
-    return min(outcomes, key=lambda o: sum(cost(fitted(b, capacities)) for b in o[1]))
+    """The cheapest of the outcomes after shrinking."""
+    return min(outcomes(lengths, capacities), key=lambda o: sum(cost(fitted(b, capacities)) for b in o[1]))
 
 
 def pack(lengths: DataFrame, capacities: tuple[int, ...] = CAPACITIES, group_tokens: int = GROUP_TOKENS, group_pieces: int = GROUP_PIECES) -> DataFrame:

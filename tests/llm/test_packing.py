@@ -1,8 +1,9 @@
+import random
 from collections import defaultdict
 
 import pytest
 
-from inkmark.llm.packing import CAPACITIES, _best_fit, cost, fitted, op5_packing, pack, pack_group
+from inkmark.llm.packing import CAPACITIES, _best_fit, cost, fitted, op5_packing, outcomes, pack, pack_group
 from inkmark.llm.token_counts import op4_token_counts
 
 
@@ -47,35 +48,73 @@ def test_clashing_columns_and_empty_tables(spark):
     assert pack(df.limit(0)).collect() == []
 
 
-def plain_best_fit(lengths, capacities, largest):
-    """The same rule by looking at every open bin."""
-    bins, placed, rest = [], [], sum(lengths)
-    for n in lengths:
+def price(bins, capacities=CAPACITIES):
+    return sum(cost(fitted(b, capacities)) for b in bins)
+
+
+def plain_best_fit(lengths, capacities, least):
+    """The same rule by looking at every open bin, and at every piece to come where the outlook chooses."""
+    bins, placed, chosen = [], [], {}
+    for k, n in enumerate(lengths):
         open_bins = [(c - t, i) for i, (c, t) in enumerate(bins) if c - t >= n]
         if open_bins:
             i = min(open_bins)[1]
         else:
-            able = [c for c in capacities if n <= c <= largest] or [min(c for c in capacities if c >= n)]
-            bins.append([min(able, key=lambda c: (cost(c) / min(c, rest), c)), 0])
+            if least is None and n not in chosen:
+                offers = []
+                for c in (c for c in capacities if c >= n):
+                    total = n
+                    for m in lengths[k + 1 :]:
+                        total += m if total + m <= c else 0
+                    offers.append((cost(fitted(total, capacities)) / total, c))
+                chosen[n] = min(offers)[1]
+            bins.append([chosen[n] if least is None else min(c for c in capacities if c >= max(n, least)), 0])
             i = len(bins) - 1
         bins[i][1] += n
-        rest -= n
         placed.append(i)
     return placed, [t for _, t in bins]
 
 
 def test_best_fit_equals_the_plain_rule():
     lengths = sorted(((i * 7919) % 900 + 1 for i in range(400)), reverse=True)
-    for largest in (256, 512, 1024):
-        assert _best_fit(lengths, (256, 512, 1024), largest) == plain_best_fit(lengths, (256, 512, 1024), largest)
-
-
-def test_the_cheapest_outcome_stays():
-    lengths = sorted(((i * 104729) % 3000 + 1 for i in range(500)), reverse=True)
-    total = lambda bins: sum(cost(fitted(b, CAPACITIES)) for b in bins)
-    best = total(pack_group(lengths, CAPACITIES)[1])
-    assert all(best <= total(_best_fit(lengths, CAPACITIES, c)[1]) for c in CAPACITIES)
-    assert best <= sum(cost(fitted(n, CAPACITIES)) for n in lengths)
+    for least in (None, 256, 512, 1024):
+        assert _best_fit(lengths, (256, 512, 1024), least) == plain_best_fit(lengths, (256, 512, 1024), least)
+
+
+def cheapest(lengths, capacities):
+    """The least cost of all ways to put a few pieces into bins."""
+    best = float("inf")
+
+    def place(i, bins):
+        nonlocal best
+        if i == len(lengths):
+            best = min(best, price(bins, capacities))
+            return
+        for b in range(len(bins)):
+            if bins[b] + lengths[i] <= capacities[-1]:
+                place(i + 1, [*bins[:b], bins[b] + lengths[i], *bins[b + 1 :]])
+        place(i + 1, [*bins, lengths[i]])
+
+    place(0, [])
+    return best
+
+
+def test_small_groups_cost_little_more_than_the_best_packing():
+    rng = random.Random(3)
+    ratios = []
+    for _ in range(60):
+        lengths = sorted((rng.randrange(20, rng.choice((400, 1100, 2000))) for _ in range(7)), reverse=True)
+        ratios.append(price(pack_group(lengths, (512, 1024, 2048))[1], (512, 1024, 2048)) / cheapest(lengths, (512, 1024, 2048)))
+    assert max(ratios) < 1.3 and sum(ratios) / len(ratios) < 1.05
+
+
+def test_sizes_are_chosen_jointly():
+    # one piece per bin of 512 would leave two fifths of it empty
+    assert price(pack_group([300] * 1000, CAPACITIES)[1]) / 300_000 < 1.25
+    # no fixed least size is the best for every mix, and the outcomes differ
+    for lengths in ([300] * 1000, [700] * 300, sorted(((i * 104729) % 3000 + 1 for i in range(500)), reverse=True)):
+        prices = [price(bins) for _, bins in outcomes(lengths, CAPACITIES)]
+        assert len(set(prices)) > 2 and price(pack_group(lengths, CAPACITIES)[1]) == min(prices)
 
 
 def test_op5_places_all_documents(spark, sf_dir):
