@@ -259,10 +259,15 @@ def _compared(suffixes: DataFrame, buckets: int, length: int) -> DataFrame:
     """
 
     def run(batches):
+        # copies of a text send a suffix once per task; equal rows lie in one bucket, and one of them stands for all, since
+        # windows of a text that occurs twice are known to be repeated
+        seen: set[tuple[bytes, int]] = set()
         columns: list[list] = [[], [], [], [], []]
         for batch in batches:
+            place = list(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()))
+            new = [i for i, p in enumerate(place) if p not in seen and not seen.add(p)]
             for i in range(5):
-                columns[i] += batch.column(i).to_pylist()
+                columns[i] += batch.column(i).take(pa.array(new, pa.int32())).to_pylist()
         suffix, before, keys, start, windows = columns
         out = []
         if suffix:
