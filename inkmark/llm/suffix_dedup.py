@@ -251,11 +251,11 @@ def compare_bucket(
     return repeated, beyond
 
 
-def _compared(suffixes: DataFrame, buckets: int, length: int) -> DataFrame:
+def _compared(suffixes: DataFrame, length: int) -> DataFrame:
     """(key, start, windows, digest): repeated runs of windows, without digest, and single windows for the boundaries, with it.
 
     A window that may be repeated beyond its bucket comes once with its text where it is not repeated within, and once
-    without where it is.
+    without where it is. Every bucket takes it that another one follows, since Spark may make more or fewer than asked for.
     """
 
     def run(batches):
@@ -272,7 +272,7 @@ def _compared(suffixes: DataFrame, buckets: int, length: int) -> DataFrame:
         out = []
         if suffix:
             bucket = TaskContext.get().partitionId()
-            repeated, beyond = compare_bucket(suffix, before, np.array(windows), length, bucket > 0, bucket < buckets - 1)
+            repeated, beyond = compare_bucket(suffix, before, np.array(windows), length, bucket > 0, True)
             for i in np.flatnonzero(repeated.any(axis=1)).tolist():
                 edge = np.flatnonzero(np.diff(np.concatenate(([False], repeated[i], [False])).astype(np.int8)))
                 out += [(keys[i], start[i] + a, b - a, None) for a, b in zip(edge[0::2].tolist(), edge[1::2].tolist())]
@@ -349,7 +349,7 @@ def remove_repeats(
     bits = bitmap(wanted.select(F.pmod("place", F.lit(BITS)).alias("residue")), "residue", BITS)
     parts = max(1, wanted.count() * (length + length // 2) // BUCKET_BYTES + 1)
     suffixes = _suffixes(texts, bits, length).repartitionByRange(parts, "suffix", "before")
-    compared = stored(_compared(suffixes, parts, length), "compared")
+    compared = stored(_compared(suffixes, length), "compared")
 
     edges = compared.filter("digest IS NOT NULL")
     # a digest comes at most once per bucket and text place, so no group of it is large

@@ -62,6 +62,15 @@ def test_one_passage_in_many_texts(spark, monkeypatch):
     assert result(remove_repeats(df, length=40)) == brute(rows, 40)
 
 
+@pytest.mark.parametrize("made", [40])
+def test_more_buckets_than_asked_for(spark, monkeypatch, made):
+    rows = family(7)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    plain = type(df).repartitionByRange
+    monkeypatch.setattr(type(df), "repartitionByRange", lambda self, n, *columns: plain(self, made, *columns))
+    assert result(remove_repeats(df, length=20)) == brute(rows, 20)
+
+
 def test_odd_rows(spark):
     rows = odd_rows(spark)
     plain = [tuple(r) for r in rows.select("doc_id", "text").collect()]
