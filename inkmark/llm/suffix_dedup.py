@@ -10,7 +10,8 @@ need be sorted. The windows of one anchor are a run; they all hold its core, the
    of each class with such a core, are range-partitioned by their leading bytes with sampled splitters. Each bucket sorts its
    suffixes, and the bytes before the anchors, by multikey quicksort and compares neighbours: a window is repeated where both
    its part from the anchor on and its part before it are shared with another one.
-4. Runs of suffixes that reach the ends of a bucket are compared across the boundaries, by their windows.
+4. Runs of suffixes that reach the ends of a bucket are compared across the boundaries: first by the bytes that some
+   windows in a row have in common, and where two buckets hold the same ones, by the windows.
 
 Splitters may fall inside a group of equal suffixes, so no group has to fit one bucket.
 """
@@ -39,6 +40,8 @@ BLOCK_BYTES = 1 << 20
 BUCKET_BYTES = 32 << 20
 # Suffixes that a task remembers to have sent, so that copies of a text are sent once.
 SENT = 500_000
+# Windows in a row that are compared across boundaries by what they have in common, before each by itself.
+STEP = 16
 
 _POSITION = U((1 << 22) - 1)
 _GRAM = 16
@@ -252,10 +255,12 @@ def compare_bucket(
 
 
 def _compared(suffixes: DataFrame, length: int) -> DataFrame:
-    """(key, start, windows, digest): repeated runs of windows, without digest, and single windows for the boundaries, with it.
+    """(key, start, windows, digest, fine, bucket): repeated runs of windows without digest, and with it those for the boundaries.
 
-    A window that may be repeated beyond its bucket comes once with its text where it is not repeated within, and once
-    without where it is. Every bucket takes it that another one follows, since Spark may make more or fewer than asked for.
+    A row for the boundaries stands for up to ``STEP`` windows of a suffix that may be repeated beyond the bucket: ``digest``
+    is that of the bytes which they have in common, ``fine`` has per window its place from ``start`` on (a byte) and its own
+    digest. Windows that are repeated within the bucket come once per bucket and without key, only to be met. Every bucket
+    takes it that another one follows, since Spark may make more or fewer than asked for.
     """
 
     def run(batches):
@@ -275,23 +280,60 @@ def _compared(suffixes: DataFrame, length: int) -> DataFrame:
             repeated, beyond = compare_bucket(suffix, before, np.array(windows), length, bucket > 0, True)
             for i in np.flatnonzero(repeated.any(axis=1)).tolist():
                 edge = np.flatnonzero(np.diff(np.concatenate(([False], repeated[i], [False])).astype(np.int8)))
-                out += [(keys[i], start[i] + a, b - a, None) for a, b in zip(edge[0::2].tolist(), edge[1::2].tolist())]
+                out += [(keys[i], start[i] + a, b - a, None, None, bucket) for a, b in zip(edge[0::2].tolist(), edge[1::2].tolist())]
             told = set()
             for i in np.flatnonzero(beyond.any(axis=1)).tolist():
-                whole = before[i][::-1] + suffix[i]
+                whole, lead = before[i][::-1] + suffix[i], len(before[i])
+                steps: dict[int, list[int]] = {}
                 for t in np.flatnonzero(beyond[i]).tolist():
-                    digest = hashlib.blake2b(whole[t : t + length], digest_size=16).digest()
-                    if not repeated[i, t]:
-                        out.append((keys[i], start[i] + t, 1, digest))
-                    elif digest not in told:
-                        told.add(digest)
-                        out.append((None, 0, 1, digest))
-        kinds = (pa.binary(), pa.int64(), pa.int64(), pa.binary())
+                    steps.setdefault((lead - t) // STEP, []).append(t)
+                for step, own in steps.items():
+                    least, most = step * STEP, min(step * STEP + STEP, length // 2) - 1
+                    # what all windows that start least to most bytes before the anchor have in common
+                    common = step.to_bytes(4, "little") + whole[lead - least : lead + length - most]
+                    new, again = [], []
+                    for t in own:
+                        digest = hashlib.blake2b(whole[t : t + length], digest_size=16).digest()
+                        if not repeated[i, t]:
+                            new.append(bytes([t - own[0]]) + digest)
+                        elif digest not in told:
+                            told.add(digest)
+                            again.append(bytes([t - own[0]]) + digest)
+                    digest = hashlib.blake2b(common, digest_size=16).digest()
+                    if new:
+                        out.append((keys[i], start[i] + own[0], len(new), digest, b"".join(new), bucket))
+                    if again:
+                        out.append((None, 0, len(again), digest, b"".join(again), bucket))
+        kinds = (pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32())
+        names = ["key", "start", "windows", "digest", "fine", "bucket"]
         for a in range(0, max(len(out), 1), 20_000):
-            part = list(zip(*out[a : a + 20_000])) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(part, kinds)], names=["key", "start", "windows", "digest"])
+            part = list(zip(*out[a : a + 20_000])) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(part, kinds)], names=names)
 
-    return suffixes.mapInArrow(run, "key binary, start bigint, windows bigint, digest binary")
+    return suffixes.mapInArrow(run, "key binary, start bigint, windows bigint, digest binary, fine binary, bucket int")
+
+
+def _across(compared: DataFrame) -> DataFrame:
+    """(key, start, windows): single windows that are repeated in other buckets."""
+    coarse = compared.filter("digest IS NOT NULL")
+    met = coarse.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("bucket").alias("least"), F.max("bucket").alias("most"))
+    met = met.filter("least < most").select("digest", "n")
+    live = looked_up(coarse, met, ["digest"], "n").filter("n IS NOT NULL").select("key", "start", "fine")
+
+    def run(batch):
+        out = {name: [] for name in ("key", "start", "digest")}
+        for key, start, fine in zip(*(c.to_pylist() for c in batch.columns)):
+            for at in range(0, len(fine), 17):
+                out["key"].append(key)
+                out["start"].append(start + fine[at])
+                out["digest"].append(fine[at + 1 : at + 17])
+        return out
+
+    edges = stored(map_batches(live, run, "key binary, start bigint, digest binary"), "edges")
+    # a digest comes at most once per bucket and text place, so no group of it is large
+    meeting = edges.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    across = looked_up(edges.filter("key IS NOT NULL"), meeting, ["digest"], "n").filter("n IS NOT NULL")
+    return across.select("key", "start", F.lit(1).cast("long").alias("windows"))
 
 
 def _cleaned(spans: DataFrame, texts: DataFrame, length: int, with_text: bool) -> DataFrame:
@@ -351,13 +393,9 @@ def remove_repeats(
     suffixes = _suffixes(texts, bits, length).repartitionByRange(parts, "suffix", "before")
     compared = stored(_compared(suffixes, length), "compared")
 
-    edges = compared.filter("digest IS NOT NULL")
-    # a digest comes at most once per bucket and text place, so no group of it is large
-    meeting = edges.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    across = looked_up(edges.filter("key IS NOT NULL"), meeting, ["digest"], "n").filter("n IS NOT NULL")
     equal = looked_up(members, classes.filter("n > 1").select("core", "run", "n"), ["core", "run"], "n").filter("n IS NOT NULL")
     within = compared.filter("digest IS NULL")
-    spans = equal.select("key", "start", "windows").unionByName(within.select("key", "start", "windows")).unionByName(across.select("key", "start", "windows"))
+    spans = equal.select("key", "start", "windows").unionByName(within.select("key", "start", "windows")).unionByName(_across(compared))
     # texts that occur again as a whole go as a whole
     spans = stored(looked_up(spans, copies, ["key"], "copies").filter("copies IS NULL").select("key", "start", "windows"), "spans")
 
