@@ -168,7 +168,7 @@ def feed_strict(spark, sf_dir):
     rows.write.partitionBy("file").parquet(f"{root}/raw")
     feed = spark.read.parquet(f"{root}/raw").withColumnRenamed("file", "source_file")
     feed = feed.withColumn("label", labels.strict(F.col("label")))
-    kept, _ = columns.quarantine_sources(feed, "source_file")
+    kept, _ = columns.quarantine_sources(feed, "source_file", need_one=False)
     clean = kept.withColumn("text", squash_spaces(F.col("text"))).filter(F.length("text") > 0)
     unique = dedup.dedup_two_level(clean, "source_file", "doc_id")
     return unique.groupBy("source_file").agg(
