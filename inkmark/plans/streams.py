@@ -26,7 +26,7 @@ def query(name, sql=None):
 
 
 def _stream(spark, sf_dir, name):
-    return jobs.file_stream(spark, sf_dir, f"{name}.parquet", table(spark, sf_dir, name).schema)
+    return jobs.table_stream(spark, sf_dir, f"{name}.parquet", table(spark, sf_dir, name).schema)
 
 
 @query(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from inkmark.plans.registry import all_oracles, all_queries
 from inkmark.session import scratch_path
+from inkmark.streaming import jobs
 from tests.compare import differences
 
 
@@ -26,3 +27,14 @@ def folders(spark, sf_dir):
 def test_a_feed_without_a_clean_source_is_empty(spark, folders, name):
     root, con = folders
     assert differences(all_queries()[name](spark, root), con, all_oracles()[name]) is None
+
+
+@pytest.mark.parametrize("name", ["stream_score", "stream_dedup", "stream_label_counts"])
+def test_streams_read_tables_that_are_folders(spark, folders, name):
+    root, con = folders
+    assert differences(all_queries()[name](spark, root), con, all_oracles()[name]) is None
+
+
+def test_a_stream_without_files_counts_nothing(spark, sf_dir):
+    stream = jobs.file_stream(spark, sf_dir, "nothing.parquet", spark.read.parquet(f"{sf_dir}/documents.parquet").schema)
+    assert jobs.scratch_run(jobs.stream_label_counts(stream, ["lang"]), "empty", complete=True).count() == 0
