@@ -38,3 +38,12 @@ def test_streams_read_tables_that_are_folders(spark, folders, name):
 def test_a_stream_without_files_counts_nothing(spark, sf_dir):
     stream = jobs.file_stream(spark, sf_dir, "nothing.parquet", spark.read.parquet(f"{sf_dir}/documents.parquet").schema)
     assert jobs.scratch_run(jobs.stream_label_counts(stream, ["lang"]), "empty", complete=True).count() == 0
+
+
+def test_stylometry_makes_no_string_per_character(spark):
+    from inkmark.functions import stylometry
+
+    docs = spark.createDataFrame([(1, "A word, a word. 12 words!")], "doc_id bigint, text string")
+    for add, tokenisations in ((stylometry.add_v1_features, 3), (stylometry.add_v2_features, 2)):
+        plan = add(docs, keep=["doc_id"])._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_extract_all") <= tokenisations
