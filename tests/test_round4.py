@@ -40,6 +40,37 @@ def test_a_stream_without_files_counts_nothing(spark, sf_dir):
     assert jobs.scratch_run(jobs.stream_label_counts(stream, ["lang"]), "empty", complete=True).count() == 0
 
 
+def test_stored_stylometry_equals_stylometry_of_the_text(spark, sf_dir):
+    from inkmark.models.vectors import FeaturePlan, assemble, fit_features, with_style
+    from inkmark.functions import ngrams
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").limit(60).cache()
+    for plan in (FeaturePlan(style="v1"), FeaturePlan([ngrams.WORD_MAXDF], style="v2")):
+        kept = with_style(docs, [plan])
+        # a text changed after storing shows that the features are read, not computed again
+        changed = kept if plan.specs else kept.withColumn("text", F.lit("other"))
+        plain, again = (
+            {r.doc_id: r.features.toArray() for r in assemble(rows, fit_features(rows, plan), ["doc_id"]).collect()} for rows in (docs, changed)
+        )
+        assert plain.keys() == again.keys() and all(abs(plain[k] - again[k]).max() < 1e-9 for k in plain)
+
+
+def test_term_cells_equal_the_joined_weights(spark):
+    from inkmark.functions import ngrams
+    from inkmark.models.vectors import FeaturePlan, fit_features, term_cells
+    from inkmark.operators.lexical import weigh
+
+    texts = ["the cat sat on the mat", "the cat ate", "", None, "a dog sat on a mat mat", "unknown!"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    plan = FeaturePlan([ngrams.TermSpec(max_features=8), ngrams.TermSpec(analyzer="char_wb", min_n=3, max_n=4, max_features=20)])
+    fitted = fit_features(docs, plan)
+    expected = {(r.doc_id, r.term_id): r.w for r in weigh(docs, fitted.vocabulary, plan.specs).collect()}
+    rows = term_cells(docs, fitted, ["doc_id"]).collect()
+    got = {(r.doc_id, c.i): c.v for r in rows for c in r["_cells"]}
+    assert len(rows) == 6 and got.keys() == expected.keys() and all(abs(got[k] - expected[k]) < 1e-12 for k in got)
+    assert all([c.i for c in r["_cells"]] == sorted(c.i for c in r["_cells"]) for r in rows)
+
+
 def test_stylometry_makes_no_string_per_character(spark):
     from inkmark.functions import stylometry
 
