@@ -78,3 +78,13 @@ def test_stylometry_makes_no_string_per_character(spark):
     for add, tokenisations in ((stylometry.add_v1_features, 3), (stylometry.add_v2_features, 2)):
         plan = add(docs, keep=["doc_id"])._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("regexp_extract_all") <= tokenisations
+
+
+def test_near_duplicates_with_joined_frequencies(spark, sf_dir, monkeypatch):
+    from inkmark.operators import near_duplicates as nd
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").limit(80).cache()
+    looked_up, joined = (
+        {r.doc_id: (r.terms, r.levels, r.last, [round(w, 12) for w in r.weights]) for r in nd.packed(docs, lookup=n).collect()} for n in (10**6, 0)
+    )
+    assert looked_up == joined and len(joined) > 70
