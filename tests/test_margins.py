@@ -73,3 +73,14 @@ def test_recipes_with_equal_terms_share_one_vocabulary(spark, monkeypatch):
     columns = ["block", "term", "df", "cf", "idf", "term_id"]
     assert sorted(map(tuple, features[2].vocabulary.select(columns).collect())) == sorted(map(tuple, apart.select(columns).collect()))
     assert features[2].n_terms == apart.count() and features[0].vocabulary.filter(F.col("block") != 0).count() == 0
+
+
+def test_forest_keeps_its_nodes_and_stays_the_same(spark):
+    from pyspark.ml.functions import array_to_vector
+
+    data = [(i % 2, 1.0, [float(i % 17), float((i * 7) % 23), float(i % 2) + (i % 5) / 4]) for i in range(300)]
+    rows = spark.createDataFrame(data, "label int, class_weight double, f array<double>").select("label", "class_weight", array_to_vector("f").alias("features")).cache()
+    forest = t._forest(t.Recipe("forest", t.CURRENT[2].plan, "forest", trees=8))
+    assert forest.getCacheNodeIds()
+    kept, walked = forest.fit(rows), forest.copy().setCacheNodeIds(False).fit(rows)
+    assert kept.toDebugString.split("\n")[1:] == walked.toDebugString.split("\n")[1:]
