@@ -84,3 +84,15 @@ def test_forest_keeps_its_nodes_and_stays_the_same(spark):
     assert forest.getCacheNodeIds()
     kept, walked = forest.fit(rows), forest.copy().setCacheNodeIds(False).fit(rows)
     assert kept.toDebugString.split("\n")[1:] == walked.toDebugString.split("\n")[1:]
+
+
+def test_embedding_vectors_read_stored_stylometry(spark):
+    from inkmark.models.vectors import FeaturePlan, embedding_style_vectors, with_style
+
+    rows = [(i, f"a text of {i} words, or so{'!' * (i % 3)}", [float(i), float(i % 4)]) for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, embedding array<double>")
+    kept = with_style(docs, [FeaturePlan(style="v1")])
+    plain, again = (
+        {r.doc_id: r.features.toArray() for r in embedding_style_vectors(d, d, ["doc_id"]).collect()} for d in (docs, kept.withColumn("text", F.lit("other")))
+    )
+    assert plain.keys() == again.keys() and all(abs(plain[k] - again[k]).max() < 1e-9 for k in plain)
