@@ -4,9 +4,9 @@ Generators propose many, also overlapping, spans in loose formats (spelled-out a
 plus signs). Boosted trees score each from its format and context; a threshold per kind, calibrated on held-out rows,
 selects those that are added to the base spans.
 
-There are no marked spans to learn from, so the training rows come from a bounded sample of documents: base spans and
-their rewritings in other formats are positive; candidates that no rule confirms, and spans whose check digit, number
-range or length was broken on purpose, are negative.
+There are no marked spans to learn from, so all documents give training rows: base spans and their rewritings in other
+formats are positive; candidates that no rule confirms, and spans whose check digit, number range or length was broken on
+purpose, are negative. Equal rows are counted; where the distinct ones are many, the trees grow by Spark jobs over them.
 """
 
 from __future__ import annotations
@@ -15,21 +15,22 @@ import hashlib
 import re
 import zlib
 from bisect import bisect_left
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkmark.llm.arrow import bounded_sample, map_batches, table
-from inkmark.llm.boosting import BoostedTrees, cautious_threshold
+from inkmark.llm.arrow import map_batches, stored, table
+from inkmark.llm.boosting import MARGIN, BoostedTrees, arrays, cautious_threshold, coded, quantile_cuts
 
 KINDS = ("email", "ip", "card", "phone")
-# Bound of the sample, rows the trees may learn from, and the precision that thresholds must reach on held-out rows.
-SAMPLE_DOCS = 4000
-SAMPLE_ROWS = 20_000
+# Distinct training rows that the driver may hold (more are left to Spark), and the precision that thresholds must reach on held-out rows.
+DRIVER_ROWS = 20_000
 PRECISION = 0.99
-SEED = 3
+# Feature values above this count as this when the bins are chosen.
+LARGEST = 1000
 CONTEXT = 24
 
 Span = tuple[int, int, str]
@@ -236,35 +237,73 @@ class PiiModel:
     thresholds: dict[str, float]
 
 
-def fit_pii(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_rows: int = SAMPLE_ROWS) -> PiiModel | None:
-    """Trees and thresholds from at most ``sample_docs`` documents that hold a digit or an at sign, and ``sample_rows`` rows.
-
-    None where the sample has no base span; the base rules then stand alone. The driver gets feature rows only.
-    """
-    texts = docs.select("doc_id", "text").filter(F.col("text").rlike("[0-9@]"))
-    # the id takes part, so copies of one text come in their share and not all or none
-    sample = bounded_sample(texts, sample_docs, ["doc_id", "text"], SEED).select("text")
+def training_counts(docs: DataFrame) -> DataFrame:
+    """(learn, target, features, n): the distinct training rows of all documents, how often they occur, and which are learned from."""
+    texts = docs.select("text").filter(F.col("text").rlike("[0-9@]"))
 
     def measure(batch):
-        rows = [(t, f) for text in batch.column(0).to_pylist() for t, f in training_rows(text or "")]
-        # the draw follows the row itself, so it does not depend on partitions
-        draw = [zlib.crc32(repr(r).encode()) for r in rows]
-        return {"target": [t for t, _ in rows], "features": [f for _, f in rows], "draw": draw}
-
-    rows = map_batches(sample, measure, "target int, features array<double>, draw bigint")
-    rows = rows.orderBy("draw", "target", "features").limit(sample_rows).collect()
-    if not any(r.target for r in rows):
+        rows = Counter((t, tuple(f)) for text in batch.column(0).to_pylist() for t, f in training_rows(text or ""))
+        # the side follows the row itself, so it does not depend on partitions
+        learn = [zlib.crc32(repr((t, list(f))).encode()) // 7 % 2 == 0 for t, f in rows]
+        return {"learn": learn, "target": [t for t, _ in rows], "features": [list(f) for _, f in rows], "n": list(rows.values())}
+
+    rows = map_batches(texts, measure, "learn boolean, target int, features array<double>, n bigint")
+    return rows.groupBy("learn", "target", "features").agg(F.sum("n").alias("n"))
+
+
+def fit_pii(docs: DataFrame, driver_rows: int = DRIVER_ROWS) -> PiiModel | None:
+    """Trees and thresholds from the training rows of all documents; the result does not depend on ``driver_rows``.
+
+    None where no document has a base span; the base rules then stand alone. The driver gets distinct feature rows if they
+    are few, else counts of values, bins and margins, whose number is bounded.
+    """
+    rows = stored(training_counts(docs), "pii-rows")
+    if rows.filter("target = 1").isEmpty():
         return None
-    data, target = np.array([r.features for r in rows]), np.array([r.target for r in rows], dtype=np.float64)
-    learn = np.array([r.draw // 7 % 2 == 0 for r in rows])
-    trees = BoostedTrees(data[learn], target[learn])
+    few = rows.limit(driver_rows + 1).count() <= driver_rows
+    cell = F.least("value", F.lit(float(LARGEST)))
+    values = rows.filter("learn").select("n", F.posexplode("features").alias("feature", "value")).groupBy("feature", cell.alias("value"))
+    found: list[dict[float, int]] = [{} for _ in features("", (0, 0, KINDS[0]))]
+    for v in values.agg(F.sum("n").alias("n")).collect():
+        found[v.feature][v.value] = v.n
+    cuts = [quantile_cuts(np.array(sorted(f)), np.array([f[v] for v in sorted(f)])) for f in found]
+
+    def code(batch):
+        data = np.array(batch.column(2).to_pylist()).reshape(-1, len(cuts))
+        codes, kind = [c.tobytes() for c in coded(data, cuts)], data[:, : len(KINDS)].argmax(axis=1)
+        return {"target": batch.column(1), "codes": codes, "n": batch.column(3), "learn": batch.column(0), "kind": kind}
+
+    rows = map_batches(rows, code, "target int, codes binary, n bigint, learn boolean, kind int")
+    rows = rows.groupBy("target", "codes", "learn", "kind").agg(F.sum("n").alias("n")).select("target", "codes", "n", "learn", "kind")
+    if few:
+        held = rows.toArrow().combine_chunks()
+        learn = held.column("learn").to_numpy()
+        codes, target, n = arrays(held, len(cuts))
+        trees = BoostedTrees.of_codes(cuts, codes[learn], target[learn], n[learn])
+        kind, margin = held.column("kind").to_numpy()[~learn], _steps(trees, codes[~learn])
+        marks = list(zip(kind.tolist(), margin.tolist(), target[~learn].tolist(), n[~learn].tolist()))
+    else:
+        rows = stored(rows, "pii-codes")
+        trees = BoostedTrees.of_table(cuts, rows.filter("learn").select("target", "codes", "n"))
+
+        def judge(batch):
+            return {"kind": batch.column(3), "margin": _steps(trees, arrays(batch, len(cuts))[0]), "target": batch.column(0), "n": batch.column(2)}
+
+        judged = map_batches(rows.filter("NOT learn").select("target", "codes", "n", "kind"), judge, "kind int, margin int, target int, n bigint")
+        marks = judged.groupBy("kind", "margin", "target").agg(F.sum("n").alias("n")).collect()
     thresholds = {}
     for i, kind in enumerate(KINDS):
-        own = ~learn & (data[:, i] == 1)
-        thresholds[kind] = max(0.5, cautious_threshold(trees.chances(data[own]), target[own], PRECISION))
+        own = np.array([m[1:] for m in marks if m[0] == i], dtype=np.float64).reshape(-1, 3)
+        chances = 1 / (1 + np.exp(-own[:, 0] / MARGIN))
+        thresholds[kind] = max(0.5, cautious_threshold(chances, own[:, 1], PRECISION, own[:, 2]))
     return PiiModel(trees, thresholds)
 
 
+def _steps(trees: BoostedTrees, codes: np.ndarray) -> np.ndarray:
+    """Margins in whole steps, rounded down: a bounded number of them says where the thresholds lie."""
+    return np.clip(np.floor(trees.code_margins(codes) * MARGIN), -32 * MARGIN, 32 * MARGIN).astype(np.int32)
+
+
 def all_spans(text: str, model: PiiModel | None) -> tuple[list[Span], list[Span]]:
     """(base spans, all spans). Added spans overlap no base span and each other not; likelier ones go first."""
     base = base_spans(text)

@@ -3,6 +3,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from inkmark.llm.arrow import Block
+from inkmark.llm.pii import fit_pii, training_counts, training_rows
 from inkmark.llm.token_counts import VOCABULARY
 from inkmark.llm.tokens import Encoder, public_path
 
@@ -32,3 +33,14 @@ def test_cuts_between_letters_and_signs_keep_the_ids(text):
     wanted = library.encode(text, add_special_tokens=False).ids
     assert sizes.tolist() == [len(wanted), 0, len(wanted)]
     assert np.array_equal(ids, wanted * 2)
+
+
+def test_pii_learns_from_every_document_and_alike_in_the_driver_and_on_spark(spark):
+    plain = [(i, f"call +49 30 1234{i % 97:03d} or write a.b{i % 7}@mail.example.org today, see 10.0.{i % 200}.7") for i in range(6000)]
+    strange = [(i, f"order 00{i} 4111 1111 1111 1111 x") for i in range(6000, 6040)]
+    docs = spark.createDataFrame(plain + strange, "doc_id long, text string").repartition(4)
+    seen = sum(r["n"] for r in training_counts(docs).collect())
+    assert seen == sum(len(training_rows(t)) for _, t in plain + strange)
+    few, many = fit_pii(docs), fit_pii(docs, driver_rows=0)
+    assert few.thresholds == many.thresholds and few.trees.base == many.trees.base
+    assert all(np.array_equal(a, b) for one, two in zip(few.trees.trees, many.trees.trees) for a, b in zip(one, two))
