@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 
@@ -15,7 +17,8 @@ def _average_path(n: np.ndarray | float) -> np.ndarray:
 class IsolationForest:
     """Trees as arrays of (feature, threshold, left, right, length); a leaf points to itself.
 
-    ``weights`` are the odds with which a feature is drawn for a split (default: equal).
+    ``weights`` are the odds with which a feature is drawn for a split (default: equal). Each tree draws its splits from
+    ``sample`` rows of its own, as the method has it; ``weigh`` replaces the leaves' masses by those of any number of rows.
     """
 
     def __init__(self, rows: np.ndarray, trees: int = 100, sample: int = 256, seed: int = 1, weights: np.ndarray | None = None):
@@ -47,13 +50,29 @@ class IsolationForest:
         add(rows, 0)
         return tuple(np.array(x) for x in (feature, threshold, left, right, length))
 
-    def scores(self, rows: np.ndarray) -> np.ndarray:
-        """Anomaly in (0, 1) per row; higher is more unusual."""
-        total = np.zeros(len(rows))
+    def leaves(self, rows: np.ndarray) -> Iterator[np.ndarray]:
+        """Per tree, the leaf of each row."""
         at = np.arange(len(rows))
-        for feature, threshold, left, right, length in self.trees:
+        for feature, threshold, left, right, _ in self.trees:
             node = np.zeros(len(rows), dtype=np.int64)
             for _ in range(self.depth):
                 node = np.where(rows[at, feature[node]] < threshold[node], left[node], right[node])
-            total += length[node]
+            yield node
+
+    def weigh(self, masses: list[np.ndarray]) -> None:
+        """Expected path lengths from the mass of rows in each leaf of each tree."""
+        paths = _average_path(np.arange(self.sample + 1))
+        for i, ((feature, threshold, left, right, _), mass) in enumerate(zip(self.trees, masses)):
+            depth = np.zeros(len(left))
+            for node in range(len(left)):
+                if left[node] != node:
+                    depth[left[node]] = depth[right[node]] = depth[node] + 1
+            size = self.sample * mass / max(mass.sum(), 1e-9)
+            self.trees[i] = feature, threshold, left, right, depth + np.interp(size, np.arange(self.sample + 1), paths)
+
+    def scores(self, rows: np.ndarray) -> np.ndarray:
+        """Anomaly in (0, 1) per row; higher is more unusual."""
+        total = np.zeros(len(rows))
+        for node, tree in zip(self.leaves(rows), self.trees):
+            total += tree[4][node]
         return 2.0 ** (-total / len(self.trees) / max(float(_average_path(self.sample)), 1e-9))

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
+from inkmark.llm import quality_rules as qr
 from inkmark.llm.arrow import Block
 from inkmark.llm.pii import fit_pii, training_counts, training_rows
 from inkmark.llm.token_counts import VOCABULARY
@@ -44,3 +45,17 @@ def test_pii_learns_from_every_document_and_alike_in_the_driver_and_on_spark(spa
     few, many = fit_pii(docs), fit_pii(docs, driver_rows=0)
     assert few.thresholds == many.thresholds and few.trees.base == many.trees.base
     assert all(np.array_equal(a, b) for one, two in zip(few.trees.trees, many.trees.trees) for a, b in zip(one, two))
+
+
+def test_quality_rules_learn_from_every_labelled_document(spark):
+    path = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/labels.parquet")
+    docs = docs.select("doc_id", "text").unionByName(docs.selectExpr("doc_id + 1000000000 AS doc_id", "text"))
+    labels = labels.select("doc_id", "quality").unionByName(labels.selectExpr("doc_id + 1000000000 AS doc_id", "quality"))
+    known = docs.join(labels, "doc_id").filter("length(text) > 400 AND quality = 1").count()
+    rows = qr.labelled_features(docs, labels).filter("good").count()
+    assert 0.8 * known < rows and rows > 6000
+    forest, threshold = qr.fit_rules(docs, labels)
+    again = qr.fit_rules(docs.repartition(5), labels.repartition(3))
+    assert again[1] == threshold
+    assert all(np.array_equal(a, b) for one, two in zip(forest.trees, again[0].trees) for a, b in zip(one, two))
