@@ -1,8 +1,10 @@
 """Growth of time and disk: patterns run once, terms are counted in their row's task, fits hold compact blocks."""
 
+import pytest
 from pyspark.sql import functions as F
 
-from inkmark.operators import dedup
+from inkmark.functions import gram_arrays, ngrams
+from inkmark.operators import dedup, lexical
 
 
 def test_arabic_dedup_runs_each_pattern_once(spark):
@@ -12,3 +14,50 @@ def test_arabic_dedup_runs_each_pattern_once(spark):
     assert sorted(map(tuple, clean.collect())) == [(0, "الي هنا"), (7, "x")]
     # stored once; before, the anti-joins and their lists each ran the patterns anew
     assert "regexp_replace" not in clean._jdf.queryExecution().optimizedPlan().toString()
+
+
+TEXTS = ["the cat sat on the mat", "The  Cat ate", "", None, "a dog  sat on a mat mat", "unknown!", "x", "日本語 日本", "naïve cat\tcat", "ab \x00ab", " "]
+
+
+def _specs():
+    words = [ngrams.TermSpec(min_df=1, stop_words=s, min_n=a, max_n=b) for s, a, b in ((False, 1, 2), (True, 1, 3), (False, 2, 2))]
+    return words + [ngrams.TermSpec(analyzer=k, min_df=1, min_n=a, max_n=5) for k in ("char", "char_wb") for a in (3, 4)]
+
+
+@pytest.mark.parametrize("spec", _specs())
+@pytest.mark.parametrize("room", [1 << 62, 40])
+def test_packed_terms_are_those_of_the_strings(spark, monkeypatch, spec, room):
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id bigint, text string")
+    expected = sorted((r.doc_id, t) for r in ngrams.add_terms(docs, "text", spec).collect() for t in r.terms)
+    made = docs.select(ngrams.prepared(F.col("text"), spec).alias("made")).toArrow().column(0).combine_chunks()
+    packed = gram_arrays._packed
+    monkeypatch.setattr(gram_arrays, "_packed", lambda codes, n, size, _: packed(codes, n, size, min(room, _)))
+    got = []
+    for column in (made.slice(0, 4), made.slice(4)):
+        first = 0 if not got and len(column) == 4 else 4
+        for terms, place, row, tf in gram_arrays.counted(column, spec):
+            got += [(first + int(i), terms[int(p)].as_py()) for p, i, n in zip(place, row, tf) for _ in range(n)]
+    assert sorted(got) == expected
+
+
+def test_characters_beyond_16_bits_are_one_symbol(spark):
+    docs = spark.createDataFrame([(1, "a😀bc"), (2, "a😀bc")], "doc_id bigint, text string")
+    terms = {r.term for r in lexical.fit_vocabulary(docs, [ngrams.CHAR]).collect()}
+    assert terms == {"a😀b", "😀bc", "a😀bc"}
+
+
+def test_rows_that_share_an_id_are_one_document(spark):
+    rows = [(1, "cat dog"), (1, "cat"), (2, "cat dog"), (3, "bird"), (None, "cat"), (None, "cat")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    spec = ngrams.TermSpec(min_df=1, max_n=1, sublinear=False)
+    vocabulary = lexical.fit_vocabulary(docs, [spec])
+    assert {(r.term, r.df, r.cf) for r in vocabulary.collect()} == {("cat", 3, 5), ("dog", 2, 2), ("bird", 1, 1)}
+    assert {(r.doc_id, r.term, r.tf) for r in lexical.weigh(docs, vocabulary, [spec]).collect()} == {
+        (1, "cat", 2), (1, "dog", 1), (2, "cat", 1), (2, "dog", 1), (3, "bird", 1), (None, "cat", 2)
+    }
+
+
+def test_terms_are_not_exploded(spark):
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id bigint, text string")
+    weights = lexical.weigh(docs, lexical.fit_vocabulary(docs, [ngrams.CHAR]), [ngrams.CHAR])
+    assert "Generate" not in weights._jdf.queryExecution().executedPlan().toString()
