@@ -1,5 +1,6 @@
 """Growth of time and disk: patterns run once, terms are counted in their row's task, fits hold compact blocks."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,3 +62,17 @@ def test_terms_are_not_exploded(spark):
     docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id bigint, text string")
     weights = lexical.weigh(docs, lexical.fit_vocabulary(docs, [ngrams.CHAR]), [ngrams.CHAR])
     assert "Generate" not in weights._jdf.queryExecution().executedPlan().toString()
+
+
+def test_blocks_hold_a_cell_in_eight_bytes(spark):
+    from inkmark.models.margins import Blocks, Margin
+
+    cells = [[(j * 97 % 70000, 0.5 + j) for j in range(i)] for i in (0, 300, 2000)]
+    rows = spark.createDataFrame(
+        [(i, i % 2, 1.0, i % 3, sorted(c)) for i, c in enumerate(cells)], "doc_id bigint, label int, class_weight double, _fold int, _cells array<struct<i:int,v:double>>"
+    ).coalesce(1)
+    blocks = Blocks(rows, 70_000)
+    assert blocks.sizes == [1, 1, 1] and sum(map(len, blocks.held.collect())) < 8 * 2300 + 1500
+    weights = np.arange(70_000) / 7.0
+    got = {r["_fold"]: r.margins[0] for r in blocks.margins([Margin(weights, 2.0)]).collect()}
+    assert got == pytest.approx({i: 2.0 + sum(weights[k] * v for k, v in c) for i, c in enumerate(cells)})
