@@ -9,6 +9,7 @@ from inkmark.operators import lexical, reshape
 from inkmark.plans import oracle as o
 from inkmark.plans.splitting import SPLIT_STRATIFIED_SQL
 from inkmark.operators.splits import split_stratified
+from inkmark.session import stored
 from inkmark.sources.bindings import all_turns, docs_labeled, emb_labeled, table
 
 QUERIES = {}
@@ -297,7 +298,8 @@ def features_hybrid(spark, sf_dir):
     lexical_part = lexical.weigh(conv, vocabulary, specs).select(
         "doc_id", F.col("term_id").cast("bigint").alias("feature_id"), F.round("w", 6).alias("w")
     )
-    features = stylometry.add_v2_features(all_turns(spark, sf_dir, heavy=True), keep=["doc_id"])
+    # stored, because the scaler and the rows it scales both read it
+    features = stored(stylometry.add_v2_features(all_turns(spark, sf_dir, heavy=True), keep=["doc_id"]), "style")
     names = stylometry.V2_FEATURES
     long = reshape.features_long(lexical.scale(features, lexical.scaler(features, names), names), ["doc_id"], names)
     position = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("feature")) - 1
