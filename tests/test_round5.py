@@ -1,6 +1,7 @@
 """Growth of time and disk: patterns run once, terms are counted in their row's task, fits hold compact blocks."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,3 +77,19 @@ def test_blocks_hold_a_cell_in_eight_bytes(spark):
     weights = np.arange(70_000) / 7.0
     got = {r["_fold"]: r.margins[0] for r in blocks.margins([Margin(weights, 2.0)]).collect()}
     assert got == pytest.approx({i: 2.0 + sum(weights[k] * v for k, v in c) for i, c in enumerate(cells)})
+
+
+def test_freed_memory_goes_back_after_each_batch(monkeypatch, spark):
+    import inspect
+
+    from inkmark.llm import arrow
+
+    run = {}
+    frame = spark.range(1)
+    monkeypatch.setattr(type(frame), "mapInArrow", lambda self, function, schema: run.update(f=function))
+    arrow.map_batches(frame, lambda batch: {"id": batch.column(0)}, "id bigint")
+    calls = []
+    monkeypatch.setattr(arrow, "give_back", lambda: calls.append(1))
+    assert inspect.isgeneratorfunction(run["f"])
+    assert sum(b.num_rows for b in run["f"](pa.RecordBatch.from_arrays([pa.array([i])], names=["id"]) for i in range(3))) == 3
+    assert len(calls) == 3
