@@ -54,3 +54,52 @@ def test_bound_is_never_below_the_cosine():
     dense = np.zeros((200, 9000))
     dense[np.repeat(np.arange(200), sizes), terms] = weights
     assert (v.fine @ v.fine.T >= dense @ dense.T - vb.ROUNDING).all() and (v.coarse @ v.coarse.T >= v.fine @ v.fine.T - vb.ROUNDING).all()
+
+
+def _xor(n=600):
+    rng = np.random.default_rng(1)
+    values = np.round(rng.random((n, 4)), 3)
+    return values, ((values[:, 0] > 0.5) ^ (values[:, 2] > 0.5)).astype(int)
+
+
+def test_tree_learns_what_it_drew():
+    from inkmark.models import forest
+
+    values, label = _xor()
+    x = forest._binned(values, [np.linspace(0, 1, 33)[1:-1]] * 4)
+    tree, gained = forest.grow(x, label, np.ones(len(x)), 30, [42, 0])
+    drawn = np.random.default_rng([42, 0]).poisson(1.0, len(x)) > 0
+    # a leaf stays mixed only where none of the drawn features parts it
+    assert ((forest.votes(tree, x)[drawn] > 0.5) == label[drawn]).mean() > 0.95 and gained[[0, 2]].sum() > 0.6
+    stump, _ = forest.grow(x, label, np.ones(len(x)), 0, [42, 0])
+    assert len(set(forest.votes(stump, x))) == 1
+
+
+def test_forest_lives_in_tables(spark, tmp_path):
+    from inkmark.models.forest import Forest
+
+    values, label = _xor()
+    rows = [(i, v.tolist(), int(y), 1.0) for i, (v, y) in enumerate(zip(values, label))] + [(0, values[0].tolist(), int(label[0]), 1.0)]
+    frame = spark.createDataFrame(rows, "doc_id long, values array<double>, label int, class_weight double")
+    model = Forest.fit(frame.repartition(5), 4, 20, 30, 7)
+    # the driver held every tree of the model before; now a tree is a row of a table, grown in its own task
+    assert model.trees.count() == 20 and not hasattr(model, "featureImportances")
+    scored = {(r["doc_id"], r["label"]): (r["score"], r["prediction"]) for r in model.score(frame, ["doc_id", "label"]).collect()}
+    assert sum(p == y for (_, y), (_, p) in scored.items()) > 0.95 * len(label)
+    importance = model.importances()
+    assert importance.sum() == pytest.approx(1.0) and importance[[0, 2]].min() > importance[[1, 3]].max()
+    # the same trees however the rows are dealt, and after reloading
+    again = Forest.fit(frame.coalesce(1), 4, 20, 30, 7)
+    again.save(str(tmp_path / "f"))
+    loaded = Forest.load(spark, str(tmp_path / "f"))
+    assert {(r["doc_id"], r["label"]): (r["score"], r["prediction"]) for r in loaded.score(frame, ["doc_id", "label"]).collect()} == {
+        k: (pytest.approx(s), p) for k, (s, p) in scored.items()
+    }
+
+
+def test_few_values_are_bins_of_their_own(spark):
+    from inkmark.models import forest
+
+    rows = [([float(i % 3), 0.5, float(i)],) for i in range(500)] + [([7.0, 0.5, 3.0],)]
+    cuts = forest._cuts(spark.createDataFrame(rows, "values array<double>").repartition(3), 3)
+    assert cuts[0].tolist() == [0.0, 1.0, 2.0] and cuts[1].tolist() == [] and 28 <= len(cuts[2]) <= 31
