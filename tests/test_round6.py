@@ -103,3 +103,59 @@ def test_few_values_are_bins_of_their_own(spark):
     rows = [([float(i % 3), 0.5, float(i)],) for i in range(500)] + [([7.0, 0.5, 3.0],)]
     cuts = forest._cuts(spark.createDataFrame(rows, "values array<double>").repartition(3), 3)
     assert cuts[0].tolist() == [0.0, 1.0, 2.0] and cuts[1].tolist() == [] and 28 <= len(cuts[2]) <= 31
+
+
+def _cells(spark, n=300, width=9):
+    rng = np.random.default_rng(4)
+    dense = np.where(rng.random((n, width)) < 0.5, np.float32(rng.normal(size=(n, width))), 0.0)
+    label = (dense[:, 0] - dense[:, 1] + rng.normal(size=n) > 0).astype(int)
+    rows = [(int(y), 0.5 + int(y), [(j, float(v)) for j, v in enumerate(r) if v]) for r, y in zip(dense, label)]
+    schema = "label int, class_weight double, _cells array<struct<i:int,v:double>>"
+    return spark.createDataFrame(rows, schema).repartition(4), dense, label
+
+
+def test_logistic_blocks_reach_the_optimum(spark):
+    from pyspark.sql import functions as F
+
+    from inkmark.models.margins import Blocks, fit_blocks
+
+    frame, dense, label = _cells(spark)
+    x, weight, w = np.column_stack((dense, np.ones(len(dense)))), 0.5 + label, np.zeros(10)
+    penalty = np.append(np.ones(9), 0.0)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-x @ w))
+        w = w - np.linalg.solve(np.diag(penalty) + (x * (weight * p * (1 - p))[:, None]).T @ x, x.T @ (weight * (p - label)) + penalty * w)
+    blocks = Blocks(frame.withColumn("_fold", F.lit(0)), 9)
+    assert 0 < blocks.bytes < 60_000
+    # a job per step, and all steps inside one task
+    for alone in (0, 1 << 20):
+        (machine,) = fit_blocks(blocks, tolerance=1e-13, logistic=True, alone=alone)
+        assert np.append(machine.weights, machine.bias) == pytest.approx(w, abs=1e-4)
+
+
+def test_small_fits_run_no_job_per_step(spark, monkeypatch):
+    from inkmark.models import margins
+
+    frame, _, _ = _cells(spark)
+    monkeypatch.setattr(margins.Blocks, "total", lambda *a: pytest.fail("a job per step"))
+    assert len(margins.fit_squared_hinge(frame.selectExpr("*", "0 AS _fold"), 9)) == 1
+
+
+def test_rows_without_cells_have_the_bias_as_margin():
+    from inkmark.models.margins import _margins
+
+    found = _margins(np.array([0, 2, 0, 1, 0]), np.array([1, 2, 1], np.int32), np.array([1.0, 2.0, 3.0]), np.array([[0.0, 5.0, 7.0]]), np.array([0.5]))
+    assert found.ravel().tolist() == [0.5, 19.5, 0.5, 15.5, 0.5]
+    assert _margins(np.zeros(2, int), np.zeros(0, int), np.zeros(0), np.ones((1, 3)), np.array([0.5])).ravel().tolist() == [0.5, 0.5]
+
+
+def test_logistic_detector_roundtrip(spark, tmp_path):
+    from inkmark.models import training as t
+
+    docs = spark.createDataFrame([(i, f"{'alpha beta' if i % 2 else 'gamma delta'} word{i % 5}", i % 2) for i in range(40)], "doc_id bigint, text string, label int")
+    detector = t.train(t.CURRENT[0], docs)
+    scored = {r.doc_id: (r.score, r.prediction) for r in detector.score(docs, ["doc_id"]).collect()}
+    assert all(p == i % 2 and 0 < s < 1 and (s > 0.5) == p for i, (s, p) in scored.items())
+    t.save_detector(detector, str(tmp_path / "l"))
+    again = t.load_detector(spark, t.CURRENT[0], str(tmp_path / "l")).score(docs, ["doc_id"])
+    assert {r.doc_id: (r.score, r.prediction) for r in again.collect()} == scored
